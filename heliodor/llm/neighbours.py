@@ -28,9 +28,9 @@ FIT_SAMPLE = 20_000
 CELL, BLOCK = 120, 2_000
 #: The most coarse centroids, so that they and the distances to them fit a task whatever the table's size.
 MOST_CELLS = 16_384
-PROBES = 12
+PROBES = 6
 #: Bytes of a code, centroids of each sub-quantiser, and exact checks per query and block.
-CODE, BOOK, SHORTLIST = 48, 256, 32
+CODE, BOOK, SHORTLIST = 48, 256, 160
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -162,8 +162,8 @@ def nearest_vectors(
         asking_ids, out = mine["key"].to_numpy(), []
         q_all = _matrix(mine["v"])
         most = min(shortlist, len(ids))
-        for at in range(0, len(q_all), 256):
-            q, q_ids = q_all[at : at + 256], asking_ids[at : at + 256]
+        for at in range(0, len(q_all), 64):
+            q, q_ids = q_all[at : at + 64], asking_ids[at : at + 64]
             if len(ids) > most:
                 t = index.value.tables(q, int(group["cell"].iat[0]))
                 rough = np.zeros((len(q), len(ids)), np.float32)
