@@ -425,7 +425,7 @@ def sql_bm25(terms: list[search.Term], where: str = "TRUE", limit: int = 40) ->
       h AS (SELECT * FROM ({hits}) WHERE f > 0), df AS (SELECT j, count(*) AS df FROM h GROUP BY j),
       sc AS (SELECT h.rowid, round(sum((CASE WHEN ln((s.n - df.df + 0.5) / (df.df + 0.5)) <= 0 THEN {search.LEAST_IDF} ELSE ln((s.n - df.df + 0.5) / (df.df + 0.5)) END) * h.f * 2.2 / (h.f + 1.2 * (0.25 + 0.75 * d.dl / s.a))), 12) AS score
         FROM h JOIN df ON h.j = df.j JOIN d ON d.rowid = h.rowid, s WHERE {where} GROUP BY h.rowid)
-      SELECT rowid, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, rowid)::INT AS fts_rank FROM sc ORDER BY score DESC, rowid LIMIT {limit}"""
+      SELECT rowid, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, rowid)::INT AS fts_rank FROM sc ORDER BY fts_rank LIMIT {limit}"""
 
 
 def _keyword(name: str, words: str, type_: str | None = None) -> None:
@@ -496,7 +496,7 @@ def _semantic_sql(type_: str | None = None, prefilter: bool = False) -> str:
     before = f"vec_rowid IN (SELECT vec_rowid FROM content_vec_map WHERE content_rowid IN ({kept}))" if prefilter and type_ else "TRUE"
     return f"""WITH near AS (SELECT vec_rowid, list_distance(embedding::DOUBLE[], q) AS distance FROM content_vec, ({_QUERY_VECTOR}) WHERE len(embedding) = 384 AND {before} ORDER BY distance, vec_rowid LIMIT 80),
       hit AS (SELECT m.content_rowid AS rowid, min(distance) AS distance FROM (SELECT DISTINCT * FROM content_vec_map) m JOIN near USING (vec_rowid) WHERE m.content_rowid IN ({kept}) GROUP BY 1)
-      SELECT rowid, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, rowid)::INT AS vec_rank FROM hit ORDER BY distance, rowid LIMIT 40"""
+      SELECT rowid, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, rowid)::INT AS vec_rank FROM hit ORDER BY vec_rank LIMIT 40"""
 
 
 def _semantic(name: str, type_: str | None, prefilter: bool) -> None:
