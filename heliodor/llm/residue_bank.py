@@ -39,6 +39,17 @@ ERRORS = (
     "This video is not available.", "This content is not available in your region.", "The transcript could not be loaded.", "Transcript not available.", "Failed to load content.", "Unable to load this page.", "Loading...",
 )
 
+#: Ordinary sentences, some of which talk about what the other banks hold. They stand beside the texts at hand.
+PROSE = (
+    "Deprecated. Use the newer method instead.", "This method returns the value that you stored before.", "When the view changes, the system draws it again and keeps the selection.", "You can cancel a request as long as it has not been sent.",
+    "The value is undefined until the first call returns, so check for null before you use it.", "If the server answers with an error, the client waits for a few seconds and tries the request again.", "Catch the failure in the handler and try again after a few seconds.", "Catch the error in the loader and show your own message to people who are offline.",
+    "A template is filled in by the engine before the page appears.", "Writers call this kind of dummy text filler text; the layout measures real columns instead.", "Replace sample text with real content before you publish the page.",
+    "Learn how to build pages that work when scripting is turned off.", "To test pages for people who disable scripts, load the sample and compare the results.", "Ask people to sign in only when they want to save their work.", "The session ends when the window closes, and its cache is removed.",
+    "Each server owns one queue and up to eight workers.", "We looked at how the service handles maintenance without losing requests.", "The framework checks whether the app has permission to read the file.", "Keep the text short, and explain what people can do next.",
+    "Here is an example that shows how to load a page and read its address.", "Let's look at what happens when a page is not available.", "Thank you for coming to this session about performance and power.", "For larger collections, prefer the lazy version of this function.",
+    "Set the limit to a higher value if your app needs more than one connection.", "The order of the items decides which one is shown first.", "In this video we talk about layouts, animations and gestures, and how they work together.",
+)
+
 #: Placeholders that a template engine, an editor or an author left unfilled.
 PLACEHOLDERS = (
     r"\{\{[^{}\n`]{1,80}\}\}", r"\$\{[A-Za-z_][\w.]{0,60}\}", r"<%[=-]?[^%\n]{1,80}%>", r"%%[A-Za-z][A-Za-z_]{1,40}%%", r"(?<![\w_])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w_])",

@@ -31,7 +31,7 @@ _LEVELS = (
 
 
 def _by_character(text: str, start: int, end: int, most: int) -> Iterator[int]:
-    """Ends of runs of at most `most` characters; no run starts with a combining mark, if one of the last 32 places allows that."""
+    """Ends of runs of at most `most` characters, a part of the limit so that they pack well; no run starts with a combining mark, if one of the last 32 places allows that."""
     while end - start > most:
         at = start + most
         for back in range(min(32, most - 1)):
@@ -49,7 +49,7 @@ def _unit_ends(text: str, start: int, end: int, most: int, level: int) -> Iterat
         yield end
         return
     if level == len(_LEVELS):
-        yield from _by_character(text, start, end, most)
+        yield from _by_character(text, start, end, max(1, most // 16))
         return
     for match in _LEVELS[level].finditer(text, start, end):
         cut = match.end()
