@@ -110,15 +110,12 @@ def nearest_vectors(
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "v": [np.asarray(x, np.float32).tobytes() for x in b["v"]]})
 
-    packed = usable(df, key, vector, dimension).mapInPandas(pack, "key bigint, v binary").withColumn("same", F.xxhash64("v"))
-    packed = materialise(packed, "vectors")
-    # Equal vectors: only the k + 1 smallest keys of a class can be among anybody's k nearest. Each task keeps its own k + 1
-    # before the shuffle, so a class that holds a third of all rows sends a few keys a task.
-    few = packed.select("same", "v", "key").groupBy("same", "v").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(few, "classes")
-    members = packed.join(classes.select("same", "v", "rep"), ["same", "v"]).select("key", "rep").distinct()
-    members = materialise(members, "members")
-    one_each = classes.select(F.col("rep").alias("key"), "v")
+    packed = usable(df, key, vector, dimension).mapInPandas(pack, "key bigint, v binary")
+    packed = materialise(packed.withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))), "vectors")
+    # Equal vectors are one class, told by 128 bits of hash and combined before the shuffle; the vectors themselves travel once.
+    classes = materialise(packed.groupBy("same").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies")), "classes")
+    members = materialise(packed.select("same", "key").distinct().join(classes.select("same", "rep"), "same").select("key", "rep"), "members")
+    one_each = packed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "v")
     total = one_each.count()
     if total == 0:
         return spark.createDataFrame([], "key bigint, neighbour bigint, distance double, rank int")
@@ -189,6 +186,7 @@ def nearest_vectors(
     best = Window.partitionBy("key").orderBy("d2", "rep")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("key", "rep", "d2")
     near = materialise(near, "near")
+    # Of equal vectors only the k + 1 smallest keys can be among anybody's nearest; each task keeps its own before the shuffle.
     first = Window.partitionBy("rep").orderBy("key")
     smallest = materialise(members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("rep", F.col("key").alias("neighbour")), "smallest")
     own = classes.where("copies > 1").select(F.col("rep").alias("key"), "rep", F.lit(0.0).alias("d2"))

@@ -35,7 +35,7 @@ ERRORS = (
     "Please sign in to continue.", "Sign in to continue.", "Sign in to view this page.", "You need to sign in to see this page.", "Log in again to see this content.", "Your session has expired.", "You have been signed out.", "Please log in to view this content.", "Session timed out.", "Sign in required.", "Login required.", "Authentication required.",
     "We’ll be back soon.", "We'll be back soon.", "Our site is down for maintenance.", "Our library is down for maintenance.", "Our video service is down for maintenance.", "Down for maintenance.", "Scheduled maintenance in progress.", "The site is undergoing maintenance.", "Please come back later.", "This service is currently unavailable.",
     "This page requires JavaScript.", "Please turn on JavaScript in your browser and refresh the page to view its content.", "Please enable JavaScript to view this page.", "You need to turn scripts on to use this site.", "You need to enable JavaScript to run this app.", "JavaScript is disabled in your browser.", "JavaScript is required.",
-    "Your browser has scripting switched off, so the player can’t load.", "Your browser does not support JavaScript.", "Enable scripts to play this video.", "This video can't be played because scripts are turned off.", "This site needs JavaScript.", "Bitte aktivieren Sie JavaScript.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher cette page.", "Active JavaScript para ver esta página.", "Ative o JavaScript para ver esta página.", "Attiva JavaScript per visualizzare questa pagina.", "Abilita JavaScript per vedere questa pagina.", "Schakel JavaScript in om deze pagina te bekijken.", "このページを表示するには JavaScript を有効にしてください。", "请启用 JavaScript 以查看此页面。", "Melden Sie sich an, um fortzufahren.", "Zugriff verweigert.", "Accès refusé.", "Acceso denegado.", "Acesso negado.", "Accesso negato.", "Toegang geweigerd.",
+    "Your browser has scripting switched off, so the player can’t load.", "Your browser does not support JavaScript.", "Enable scripts to play this video.", "This video can't be played because scripts are turned off.", "This site needs JavaScript.", "Bitte aktivieren Sie JavaScript.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher cette page.", "Active JavaScript para ver esta página.", "Ative o JavaScript para ver esta página.", "Attiva JavaScript per visualizzare questa pagina.", "Abilita JavaScript per vedere questa pagina.", "Schakel JavaScript in om deze pagina te bekijken.", "このページを表示するには JavaScript を有効にしてください。", "このページを表示するには、JavaScriptを有効にしてください。", "JavaScriptを有効にしてください。", "请启用JavaScript以查看此页面。", "要查看此页面，请启用 JavaScript。", "您需要启用JavaScript才能查看此内容。", "请启用 JavaScript 以查看此页面。", "Melden Sie sich an, um fortzufahren.", "Zugriff verweigert.", "Accès refusé.", "Acceso denegado.", "Acesso negado.", "Accesso negato.", "Toegang geweigerd.",
     "This video is not available.", "This content is not available in your region.", "The transcript could not be loaded.", "Transcript not available.", "Failed to load content.", "Unable to load this page.", "Loading...",
 )
 
