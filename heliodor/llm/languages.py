@@ -331,7 +331,7 @@ def stretches(units: list[str], bits: np.ndarray) -> list[tuple[int, int, str, f
 
 def label_language(label: Column) -> Column:
     """The two-letter code a label names, null where it says nothing. Spelling, region and script don't matter."""
-    head = F.lower(F.regexp_extract(F.trim(label), r"^([^\W\d_]+)(?:[-_\s(].*)?$", 1))
+    head = F.lower(F.regexp_extract(F.trim(label), r"(?U)^([^\W\d_]+)(?:[-_\s(].*)?$", 1))
     out = F.when(head.isin(*LANGUAGES), head)
     for code, others in NAMES.items():
         out = out.when(head.isin(*others), F.lit(code))

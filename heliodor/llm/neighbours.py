@@ -96,11 +96,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest_vectors(
-    df: DataFrame, key: str, vector: str, k: int = 5, dimension: int = 384, probes: int = PROBES, shortlist: int = SHORTLIST, cell: int = CELL, block: int = BLOCK, fit_sample: int = FIT_SAMPLE, seed: int = 11
+    df: DataFrame, key: str, vector: str, k: int = 5, dimension: int = 384, probes: int = PROBES, shortlist: int = SHORTLIST, cell: int = CELL, block: int = BLOCK, fit_sample: int = FIT_SAMPLE, seed: int = 11, ask_every: int = 1
 ) -> DataFrame:
     """(key, neighbour, distance, rank): for every usable vector its `k` nearest others by Euclidean distance.
 
-    Equal distances are ranked by the smaller key. Null, short, long, all-zero and non-finite vectors take no part; repeated
+    With `ask_every` only keys divisible by it are asked for, against all vectors. Equal distances are ranked by the smaller key. Null, short, long, all-zero and non-finite vectors take no part; repeated
     keys with the same vector count once; with fewer than k + 1 vectors there are fewer neighbours. Distances are exact;
     which neighbours are found depends on `probes` and `shortlist`.
     """
@@ -140,7 +140,9 @@ def nearest_vectors(
     held = assigned.groupBy(F.element_at("near", 1).alias("cell")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     stored = assigned.select(F.element_at("near", 1).alias("cell"), "key", "v", "code").join(held, "cell")
     stored = stored.select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("part"), "key", "v", "code", F.lit(False).alias("asks"), F.lit(0).alias("lot"))
-    asking = assigned.select(F.explode("near").alias("cell"), "key", "v").join(held, "cell")
+    asked = members.where(F.col("key") % ask_every == 0)
+    asking = assigned.join(asked.select(F.col("rep").alias("key")).distinct(), "key", "left_semi") if ask_every > 1 else assigned
+    asking = asking.select(F.explode("near").alias("cell"), "key", "v").join(held, "cell")
     asking = asking.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "key", "v", F.lit(None).cast("binary").alias("code"), F.lit(True).alias("asks"), F.lit(0).alias("lot"))
     # a popular cell is asked by many: its queries go in lots, and the block is sent to each lot
     crowd = asking.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(4 * block)).cast("int").alias("lots"))
@@ -194,7 +196,7 @@ def nearest_vectors(
     listed = near.unionAll(own).join(smallest, "rep")
     ranked = listed.select("key", "neighbour", "d2").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("d2", "neighbour"))).where(F.col("n") <= k + 1)
     lists = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "neighbour", "d2"))).alias("list"))  # k + 1 entries at most
-    each = members.join(lists.withColumnRenamed("key", "rep"), "rep").select("key", F.slice(F.filter("list", lambda e: e["neighbour"] != F.col("key")), 1, k).alias("list"))
+    each = asked.join(lists.withColumnRenamed("key", "rep"), "rep").select("key", F.slice(F.filter("list", lambda e: e["neighbour"] != F.col("key")), 1, k).alias("list"))
     return each.select("key", F.posexplode("list").alias("rank", "e")).select("key", F.col("e.neighbour").alias("neighbour"), F.sqrt("e.d2").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -205,5 +207,5 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The searches of the stated query set: every vector whose id is divisible by 20, against all."""
-    found = nearest_vectors(read(spark, root, "content_vec"), "vec_rowid", "embedding")
-    return found.where("key % 20 = 0").select(F.col("key").alias("vec_rowid"), F.col("neighbour").alias("neighbour_rowid"), "rank", F.round("distance", 6).alias("distance"))
+    found = nearest_vectors(read(spark, root, "content_vec"), "vec_rowid", "embedding", ask_every=20)
+    return found.select(F.col("key").alias("vec_rowid"), F.col("neighbour").alias("neighbour_rowid"), "rank", F.round("distance", 6).alias("distance"))

@@ -29,6 +29,8 @@ def test_recall_and_ties(spark):
     assert hits / (5 * 1500) >= 0.97
     assert [got[1][r][0] for r in range(1, 6)] == want[1] == [701, 702, 703, 704, 705]
     assert [got[701][r][0] for r in range(1, 6)] == want[701]
+    some = nearest_vectors(df, "k", "e", 5, dimension=32, block=100, ask_every=20)
+    assert {(r["key"], r["rank"], r["neighbour"]) for r in some.collect()} == {(i, r, n) for i in ids if i % 20 == 0 for r, (n, _) in got[i].items()}
     assert all(abs(d - np.linalg.norm(x[i - 1].astype(float) - x[n - 1])) < 1e-6 for i in ids[:50] for n, d in got[i].values())
 
 
