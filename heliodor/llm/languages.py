@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliodor.session import spread
 from heliodor.sources.tables import read
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "zh")
@@ -377,7 +378,7 @@ def identify(df: DataFrame, key: str, text: str, kind: str | None, models) -> Da
                     start += len(d)
                 yield pd.DataFrame(out, columns=["key", "segment_no", "first_sentence", "sentences", "lang", "confidence"])
 
-    return rows.mapInPandas(judge, "key bigint, segment_no int, first_sentence int, sentences int, lang string, confidence double")
+    return spread(rows, "key").mapInPandas(judge, "key bigint, segment_no int, first_sentence int, sentences int, lang string, confidence double")
 
 
 def relabel(segments: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.llm.words import WORD, WordHashes, shingle_hashes
-from heliodor.session import materialise
+from heliodor.session import materialise, spread
 from heliodor.sources.tables import read
 
 #: Bits of the parity bitmap.
@@ -66,7 +66,7 @@ def _signer(size: int, least_words: int, bands: int, rows: int, seed: int):
 def signatures(df: DataFrame, key: str, text: str, size: int, least_words: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
     """(key, same, bands, sketch) of every text with at least `least_words` words and one shingle. Null keys and texts have none."""
     rows_in = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows_in.mapInPandas(_signer(size, least_words, bands, rows, seed), "key bigint, same binary, bands array<bigint>, sketch array<bigint>")
+    return spread(rows_in, "key").mapInPandas(_signer(size, least_words, bands, rows, seed), "key bigint, same binary, bands array<bigint>, sketch array<bigint>")
 
 
 def estimate(sketch_a: Column, sketch_b: Column, samples: int) -> Column:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.session import materialise
+from heliodor.session import materialise, spread
 from heliodor.sources.tables import read
 
 #: Folders that hold third-party code, by whole name.
@@ -146,7 +146,7 @@ def judge_files(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "reason", "foreign", "same", "lines"])
 
     judged = files.where("id IS NOT NULL").select("id", "url", "local_path", "body")
-    judged = materialise(judged.mapInPandas(first, "id string, reason string, foreign boolean, same binary, lines array<bigint>"), "judged")
+    judged = materialise(spread(judged, "id").mapInPandas(first, "id string, reason string, foreign boolean, same binary, lines array<bigint>"), "judged")
     texts = judged.groupBy("same").agg(F.max("foreign").alias("foreign"), F.max(F.col("reason").isNull()).alias("open"), F.any_value("lines").alias("lines"))
     texts = materialise(texts, "texts")
     total = texts.count()

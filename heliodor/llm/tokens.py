@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliodor.session import spread
+
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = os.environ.get("HELIODOR_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -39,4 +41,4 @@ def count_tokens(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (),
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *keep)
     schema = "key bigint, tokens bigint" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInPandas(count, schema)
+    return spread(rows, "key").mapInPandas(count, schema)
