@@ -92,3 +92,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over all cores, for a stage of costly Python work.
+
+    A scan that already gives a task to each core, as every large table's does, stays as it is. A table in one small file is
+    spread by the hash of `keys`, which a lost task repeats alike.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
