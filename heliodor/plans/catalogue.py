@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heliodor.functions import archives, chunking, docjson, text
 from heliodor.operators import embedding, graph, incremental, manifest, resolve, search, status
+from heliodor.sources import discovery, raw
 from heliodor.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": incremental.p7_found}
@@ -606,3 +607,32 @@ def _(spark, root):
 @query("archive_summary")
 def _(spark, root):
     return archives.summary(QUERIES["archive_files"](spark, root).withColumn("title", F.lit("A")), ["url"], "title", "url")
+
+
+# --- discovery and fetching ---------------------------------------------------------------------------------------------------
+
+
+@query("discover_sources")
+def _(spark, root):
+    pages = spark.createDataFrame(PAGES, "page string, html string")
+    none = spark.createDataFrame([], "id string, type string, url string, source string, status string, title string")
+    return discovery.discover(pages, pages, _json_pages(spark), none, _json_pages(spark))
+
+
+@query("fetch_outcomes", """WITH store AS (SELECT url AS address, max(l.etag) AS etag FROM manifest m JOIN process_log l ON l.id = m.id WHERE l.outcome = 'done' GROUP BY url)
+  SELECT m.id, CASE WHEN s.address IS NULL THEN 'failed' WHEN coalesce(regexp_replace(m.etag, '^W/', '') = regexp_replace(s.etag, '^W/', ''), false) THEN 'not modified' ELSE 'fetched' END AS outcome
+  FROM manifest m LEFT JOIN store s ON s.address = m.url""")
+def _(spark, root):
+    m = read(spark, root, "manifest").select("id", "type", "url", "etag")
+    done = read(spark, root, "process_log").where("outcome = 'done'").select("id", F.col("etag").alias("new"))
+    store = m.join(done, "id").groupBy(F.col("url").alias("address")).agg(F.max("new").alias("etag")).withColumn("payload", F.col("address"))
+    return raw.fetch(m, store).select("id", "outcome")
+
+
+@query("fetch_counters", """WITH store AS (SELECT DISTINCT url AS address FROM manifest m JOIN process_log l ON l.id = m.id WHERE l.outcome = 'done')
+  SELECT CASE WHEN s.address IS NULL THEN 'failed' ELSE 'fetched' END AS outcome, count(*) AS n FROM manifest m LEFT JOIN store s ON s.address = m.url GROUP BY 1""")
+def _(spark, root):
+    m = read(spark, root, "manifest").select("id", "type", "url", F.lit(None).cast("string").alias("etag"))
+    done = read(spark, root, "process_log").where("outcome = 'done'").select("id").distinct()
+    store = m.join(done, "id", "left_semi").select(F.col("url").alias("address"), F.lit("p").alias("payload"), F.lit("e").alias("etag"))
+    return raw.counters(raw.fetch(m, store))
