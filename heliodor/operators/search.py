@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliodor.session import materialise, spread
+
 COLUMNS = ("title", "body", "type", "platforms")
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -37,9 +39,15 @@ FOLD_FROM, FOLD_TO = _fold_table()
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
+def folded(text: Column) -> Column:
+    """Lower case, without the marks of Latin letters; '' for null. A text of single-byte characters has no marks to look up."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and numbers, without the marks of Latin letters."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO), F.lit(TOKEN), F.lit(1))
+    """Runs of letters and numbers of the folded text."""
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(1))
 
 
 def tokenize(text: str) -> list[str]:
@@ -105,12 +113,17 @@ def _hits(index: DataFrame, terms: list[Term]) -> DataFrame:
     return begun.where(F.col("n") == sizes).groupBy("rowid", F.col("j").alias("term_no")).agg(F.count("*").alias("f"))
 
 
-def bm25(content: DataFrame, terms: list[Term], index: DataFrame | None = None) -> DataFrame:
-    """(rowid, score) of the rows with any term, higher is better. No terms: no rows."""
+def bm25(content: DataFrame, terms: list[Term], index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(rowid, score) of the rows with any term, higher is better. No terms: no rows.
+
+    `index` and `sizes` are stored results of `occurrences` and `lengths`; without them the texts are read once for each. What
+    a query needs of them, the hits and the lengths, is small and written once, as the statistics and the scores both read it.
+    """
     if not terms:
         return content.select(F.col("content_rowid").alias("rowid"), F.lit(0.0).alias("score")).where(F.lit(False))
-    hits = _hits(occurrences(content) if index is None else index, terms)
-    size = lengths(content)
+    texts = spread(content.select("content_rowid", *COLUMNS), "content_rowid")
+    hits = materialise(_hits(occurrences(texts) if index is None else index, terms), "hits")
+    size = materialise(lengths(texts), "lengths") if sizes is None else sizes
     corpus = size.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avg")).alias("c")).scalar()
     rows_with = hits.groupBy("term_no").agg(F.count("*").alias("df"))  # a row a query term
     scored = hits.join(rows_with, "term_no").join(size, "rowid").withColumn("c", corpus)
@@ -125,9 +138,9 @@ def _ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def keyword_search(content: DataFrame, query: str, limit: int = 20, type_: str | None = None, index: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def keyword_search(content: DataFrame, query: str, limit: int = 20, type_: str | None = None, index: DataFrame | None = None, strict: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(rowid, score, fts_rank): the 2 * limit best rows; ties go to the smaller rowid. A type is filtered before the cut."""
-    rows = bm25(content, compile_query(query, strict), index)
+    rows = bm25(content, compile_query(query, strict), index, sizes)
     if type_:
         rows = rows.join(content.where(F.col("type") == type_).select(F.col("content_rowid").alias("rowid")), "rowid", "left_semi")
     return _ranked(rows.orderBy(F.desc("score"), "rowid").limit(2 * limit), [F.desc("score"), F.col("rowid")], "fts_rank")

@@ -51,6 +51,16 @@ def test_search_edges(spark):
     assert [r["rowid"] for r in got] == [2, 3]
 
 
+def test_stored_index_gives_the_same(spark, tmp_path):
+    rows = content(spark, ["smooth toolbars here", "toolbars smooth", "smooth smooth toolbars", "none"])
+    search.occurrences(rows).write.parquet(str(tmp_path / "index"))
+    search.lengths(rows).write.parquet(str(tmp_path / "sizes"))
+    index, sizes = spark.read.parquet(str(tmp_path / "index")), spark.read.parquet(str(tmp_path / "sizes"))
+    for words in ('"smooth toolbars"', "smo tool"):
+        want = search.keyword_search(rows, words).collect()
+        assert sorted(map(tuple, want)) == sorted(map(tuple, search.keyword_search(rows, words, index=index, sizes=sizes).collect())) and want
+
+
 def test_phrase_stays_in_one_column(spark):
     rows = spark.createDataFrame([(1, "i", 0, "main", "thread", "doc", None, "u", "p"), (2, "i", 1, "x", "main thread main thread", "doc", None, "u", "p")], FIELDS["content"])
     assert [r["rowid"] for r in search.bm25(rows, search.compile_query('"main thread"')).collect()] == [2]
