@@ -28,7 +28,7 @@ FIT_SAMPLE = 20_000
 CELL, BLOCK = 120, 2_000
 #: The most coarse centroids, so that they and the distances to them fit a task whatever the table's size.
 MOST_CELLS = 16_384
-PROBES = 6
+PROBES = 4
 #: Bytes of a code, centroids of each sub-quantiser, and exact checks per query and block.
 CODE, BOOK, SHORTLIST = 48, 256, 160
 
@@ -91,8 +91,15 @@ def usable(df: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
     return df.where(F.col(key).isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).cast("bigint").alias("key"), F.transform(v, lambda x: x.cast("float") + F.lit(0).cast("float")).alias("v"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.float32) for b in column])
+def _pack(vector: np.ndarray) -> bytes:
+    """A vector's bytes: two for each value where that loses nothing, else four."""
+    with np.errstate(over="ignore"):
+        half = vector.astype(np.float16)
+    return (half if np.array_equal(half.astype(np.float32), vector) else vector).tobytes()
+
+
+def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float16 if len(b) == 2 * dimension else np.float32).astype(np.float32, copy=False) for b in column])
 
 
 def nearest_vectors(
@@ -108,7 +115,7 @@ def nearest_vectors(
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "v": [np.asarray(x, np.float32).tobytes() for x in b["v"]]})
+            yield pd.DataFrame({"key": b["key"], "v": [_pack(np.asarray(x, np.float32)) for x in b["v"]]})
 
     packed = usable(df, key, vector, dimension).mapInPandas(pack, "key bigint, v binary")
     packed = materialise(packed.withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))), "vectors")
@@ -124,13 +131,13 @@ def nearest_vectors(
     picked = one_each.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(fit_sample).toPandas()
     if not len(picked):
         picked = one_each.select("v").limit(fit_sample).toPandas()
-    index = spark.sparkContext.broadcast(Index(_matrix(picked["v"]), total, cell, CODE, seed))
+    index = spark.sparkContext.broadcast(Index(_matrix(picked["v"], dimension), total, cell, CODE, seed))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x = _matrix(b["v"])
+            x = _matrix(b["v"], dimension)
             near = _nearest(x, index.value.coarse, probes)
             code = index.value.encode(x, near[:, 0])
             yield pd.DataFrame({"key": b["key"], "v": b["v"], "code": [c.tobytes() for c in code], "near": list(near)})
@@ -154,12 +161,12 @@ def nearest_vectors(
         mine, base = group[asks], group[~asks]
         if not len(base) or not len(mine):
             return pd.DataFrame({"key": [], "rep": [], "d2": []})
-        x, ids = _matrix(base["v"]), base["key"].to_numpy()
+        x, ids = _matrix(base["v"], dimension), base["key"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         codes = np.stack([np.frombuffer(c, np.uint8) for c in base["code"]])[order]
         asking_ids, out = mine["key"].to_numpy(), []
-        q_all = _matrix(mine["v"])
+        q_all = _matrix(mine["v"], dimension)
         most = min(shortlist, len(ids))
         for at in range(0, len(q_all), 64):
             q, q_ids = q_all[at : at + 64], asking_ids[at : at + 64]

@@ -40,3 +40,13 @@ def test_edges(spark):
     assert sorted((r["key"], r["neighbour"]) for r in nearest_vectors(df, "k", "e", 5, dimension=2).collect()) == [(1, 7), (7, 1)]
     assert nearest_vectors(df.where(F.lit(False)), "k", "e", 5, dimension=2).count() == 0
     assert nearest_vectors(df.where("k = 7"), "k", "e", 5, dimension=2).count() == 0
+
+
+def test_packing_loses_nothing():
+    from heliodor.llm.neighbours import _matrix, _pack
+    import pandas as pd
+
+    for v in ([0.25, -0.0009765625, 1.0], [0.1, 1e30, -3.3], [65504.0, 0.5, 1e-9]):
+        x = np.asarray(v, np.float32)
+        assert (_matrix(pd.Series([_pack(x)]), 3)[0] == x).all()
+    assert len(_pack(np.asarray([0.25, 0.5], np.float32))) == 4 and len(_pack(np.asarray([0.1, 0.5], np.float32))) == 8
