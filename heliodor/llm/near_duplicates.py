@@ -187,3 +187,12 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 def p2_classes(spark: SparkSession, root: str) -> DataFrame:
     """One row per content row of at least 80 words: its class, the class's copies and its links to other classes."""
     return _of_content(spark, root).classes().select(F.col("key").alias("content_rowid"), F.col("rep").alias("class_id"), "copies", "links")
+
+
+P2_FOUND_SQL = r"""
+WITH w AS (SELECT content_rowid AS r, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM content WHERE body IS NOT NULL),
+  s AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 80)),
+  n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+  p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2)
+SELECT x AS content_rowid_a, y AS content_rowid_b FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE c >= 0.7 * (nx.n + ny.n - c)
+"""

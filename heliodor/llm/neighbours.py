@@ -128,9 +128,10 @@ def nearest_vectors(
         return spark.createDataFrame([], "key bigint, neighbour bigint, distance double, rank int")
     # a bounded sample: a hash of the key decides, and the bound holds whatever the table's size
     share = min(1.0, fit_sample / total)
-    picked = one_each.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(fit_sample).toPandas()
+    picked = one_each.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("key", "v").limit(fit_sample).toPandas()
     if not len(picked):
-        picked = one_each.select("v").limit(fit_sample).toPandas()
+        picked = one_each.select("key", "v").limit(fit_sample).toPandas()
+    picked = picked.sort_values("key")
     index = spark.sparkContext.broadcast(Index(_matrix(picked["v"], dimension), total, cell, CODE, seed))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,3 +217,10 @@ def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The searches of the stated query set: every vector whose id is divisible by 20, against all."""
     found = nearest_vectors(read(spark, root, "content_vec"), "vec_rowid", "embedding", ask_every=20)
     return found.select(F.col("key").alias("vec_rowid"), F.col("neighbour").alias("neighbour_rowid"), "rank", F.round("distance", 6).alias("distance"))
+
+
+P3_FOUND_SQL = """
+WITH v AS (SELECT DISTINCT vec_rowid AS k, embedding::DOUBLE[] AS e FROM content_vec WHERE len(embedding) = 384 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+  d AS (SELECT a.k, b.k AS n, row_number() OVER (PARTITION BY a.k ORDER BY list_distance(a.e, b.e), b.k) AS rank FROM v a JOIN v b ON a.k <> b.k)
+SELECT DISTINCT least(k, n) AS vec_rowid_a, greatest(k, n) AS vec_rowid_b FROM d WHERE rank <= 5
+"""
