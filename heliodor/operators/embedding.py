@@ -32,8 +32,8 @@ def pending(content: DataFrame, mapping: DataFrame) -> DataFrame:
     return content.join(mapping.select("content_rowid"), "content_rowid", "left_anti")
 
 
-def embed(content: DataFrame, mapping: DataFrame, embedder: Embedder = hashing_embedder, batch: int = 32) -> DataFrame:
-    """(content_rowid, embedding) of the pending rows: title, blank line, body."""
+def embed(content: DataFrame, mapping: DataFrame, embedder: Embedder = hashing_embedder, batch: int = 32, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(content_rowid, embedding, *carry) of the pending rows: title, blank line, body; `carry` names columns of `content`."""
 
     @F.pandas_udf("array<float>")
     def vectors(text: pd.Series) -> pd.Series:
@@ -41,7 +41,7 @@ def embed(content: DataFrame, mapping: DataFrame, embedder: Embedder = hashing_e
         return pd.Series([v for p in parts for v in p], dtype=object)
 
     text = F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    return pending(content, mapping).select("content_rowid", vectors(text).alias("embedding"))
+    return pending(content, mapping).select("content_rowid", vectors(text).alias("embedding"), *carry)
 
 
 def orphans(content: DataFrame, mapping: DataFrame, vectors: DataFrame) -> DataFrame:

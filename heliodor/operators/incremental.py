@@ -79,10 +79,11 @@ class Target:
         rows = self.read()
         return None if rows is None else rows.select("id", "etag", "content_hash")
 
-    def publish(self, outputs: DataFrame) -> str:
-        """Replace the rows of the keys in `outputs`, keep the rest, and switch to the new version in one step."""
+    def publish(self, outputs: DataFrame, gone: DataFrame | None = None) -> str:
+        """Replace the rows of the keys in `outputs`, drop those of the ids in `gone`, keep the rest, and switch to the new version in one step."""
         old, name = self.read(), f"v-{uuid.uuid4().hex}"
-        whole = outputs if old is None else old.join(outputs.select("id").distinct(), "id", "left_anti").unionByName(outputs, allowMissingColumns=True)
+        replaced = outputs.select("id") if gone is None else outputs.select("id").unionAll(gone.select("id"))
+        whole = outputs if old is None else old.join(replaced.distinct(), "id", "left_anti").unionByName(outputs, allowMissingColumns=True)
         whole.write.parquet(f"{self.root}/{name}")
         staged = f"{self.root}/.CURRENT-{name}"
         stream = self._fs.create(self._path(staged))

@@ -77,19 +77,23 @@ def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] |
     vectors = Target(spark, f"{root}/vectors")
     if "embed" in stages and contents.current():
         content, old = contents.read(), vectors.read()
-        mapping = old.select("content_rowid") if old is not None else content.select("content_rowid").where(F.lit(False))
-        rows = embedding.embed(content, mapping, embedder).withColumn("id", F.col("content_rowid").cast("string"))
-        taken["embed"] = _publish(vectors, rows)
+        # by record and version, as a new version's chunks have the row ids of the old one's; vectors of no version are made again
+        versioned = old is not None and "etag" in old.columns
+        todo = pending(content, vectors.state().distinct()) if versioned else content
+        rows = embedding.embed(todo, content.select("content_rowid").where(F.lit(False)), embedder, carry=("id", "etag", "content_hash"))
+        gone = old.select("id").distinct().join(content.select("id"), "id", "left_anti") if old is not None else None
+        taken["embed"] = _publish(vectors, rows, gone)
     return taken
 
 
-def _publish(target: Target, rows: DataFrame) -> int:
-    """Publish rows unless there are none; their number."""
-    if rows.isEmpty():
+def _publish(target: Target, rows: DataFrame, gone: DataFrame | None = None) -> int:
+    """Publish rows, and drop those of the ids in `gone`, unless there are none; the number of new rows."""
+    if rows.isEmpty() and (gone is None or gone.isEmpty()):
         return 0
     before = target.current()
-    name = target.publish(rows)
+    name = target.publish(rows, gone)
     new = target.spark.read.parquet(f"{target.root}/{name}")
     if before is None:
         return new.count()
-    return new.exceptAll(target.spark.read.parquet(f"{target.root}/{before}")).count()
+    old = target.spark.read.parquet(f"{target.root}/{before}")
+    return new.exceptAll(old.select(*(F.col(c) if c in old.columns else F.lit(None).alias(c) for c in new.columns))).count()
