@@ -6,12 +6,13 @@ so a run that fails leaves the last published state, and the next run takes what
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.functions import chunking, docjson, text
+from heliodor.functions import archives, chunking, docjson, text
 from heliodor.operators import embedding, manifest
 from heliodor.operators.incremental import Target, pending
+from heliodor.session import materialise
 
 STAGES = ("discover", "normalize", "index", "embed")
 
@@ -24,17 +25,40 @@ def gates(only: dict[str, bool]) -> tuple[str, ...]:
     return ("index", "embed") if asked == ["index"] else tuple(asked) or STAGES
 
 
+def is_archive() -> Column:
+    return F.coalesce((F.col("type") == "sample") & F.col("url").endswith(".zip"), F.lit(False))
+
+
+def unpack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, text, error) of the archives among `rows`, and (id, archive, url, title, text) of the source files in them.
+
+    An archive's text is its summary; a broken one has an error and no files. A file that can't be read is left out.
+    """
+    zips = rows.where(is_archive()).select(F.col("id").alias("key"), "url", F.coalesce(F.nullif("title", F.lit("")), F.lit("Sample Code")).alias("sample"), F.col("payload").cast("binary").alias("payload"))
+    found = materialise(archives.entries(zips, "key", "payload", text.SOURCE_EXTENSIONS), "entries")
+    named = zips.drop("payload")
+    files = archives.source_files(found.join(named, "key"), "url")
+    broken = found.where("path IS NULL").select("key", "error")
+    none = F.concat(F.lit("# "), "sample", F.lit("\n\nURL: "), "url", F.lit("\n\n## Source Files (0)\n\n"))
+    whole = named.join(archives.summary(files, ["key"], "sample", "url"), "key", "left").join(broken, "key", "left")
+    texts = whole.select(F.col("key").alias("id"), F.when(F.col("error").isNull(), F.coalesce("markdown", none)).alias("text"), "error")
+    title = F.concat("sample", F.lit(" - "), F.element_at(F.split("path", "/"), -1))
+    return texts, files.select("id", F.col("key").alias("archive"), F.col("code_url").alias("url"), title.alias("title"), F.col("content").alias("text"))
+
+
 def normalize(rows: DataFrame) -> DataFrame:
     """(id, text, error) of rows (id, type, url, title, payload): JSON pages, talks in JSON, and HTML as the way out.
 
-    A row that gives no text has an error in the place of an exception.
+    Archives are left to `unpack`. A row that gives no text has an error in the place of an exception.
     """
     payload = F.col("payload").cast("string")
     talk = F.from_json(payload, "title string, transcript string, description string, resources array<string>")
     as_talk = F.when(F.get_json_object(payload, "$").isNotNull() & payload.startswith("{"), text.talk_markdown(F.coalesce(F.nullif(talk["title"], F.lit("")), F.col("title")), F.col("url"), talk["description"], talk["transcript"], talk["resources"]))
-    talks = rows.where("type = 'talk'").select("id", F.coalesce(as_talk, F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled Session")), F.lit("\n\nURL: "), "url", F.lit("\n\n## Content\n\n"), text.html_to_text(payload), F.lit("\n"))).alias("text"))
+    section = F.coalesce(F.concat(F.lit("## Transcript\n\n"), text.page_transcript(payload), F.lit("\n")), F.concat(F.lit("## Content\n\n"), text.html_to_text(payload), F.lit("\n")), F.lit(""))
+    as_page = F.when(payload.isNotNull(), F.concat(F.lit("# "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Session")), F.lit("\n\nURL: "), "url", F.lit("\n\n"), section))
+    talks = rows.where("type = 'talk'").select("id", F.coalesce(as_talk, as_page).alias("text"))
     docs = rows.where("type = 'doc'").select("id", F.coalesce(docjson.json_to_markdown(payload, "url", "title"), text.html_to_text(payload)).alias("text"))
-    samples = rows.where("type = 'sample'").select("id", F.concat(F.lit("# "), F.coalesce("title", F.lit("Sample Code")), F.lit("\n\nURL: "), "url", F.lit("\n\n"), F.coalesce(text.html_to_text(payload), F.lit(""))).alias("text"))
+    samples = rows.where("type = 'sample'").where(~is_archive()).select("id", F.concat(F.lit("# "), F.coalesce("title", F.lit("Sample Code")), F.lit("\n\nURL: "), "url", F.lit("\n\n"), F.coalesce(text.html_to_text(payload), F.lit(""))).alias("text"))
     code = rows.where("type = 'code_file'").select("id", payload.alias("text"))
     out = docs.unionAll(talks).unionAll(samples).unionAll(code)
     return out.withColumn("error", F.when(F.col("text").isNull(), "no text"))
@@ -56,24 +80,32 @@ def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] |
     """
     stages, taken = gates(only or {}), {}
     known = raw.select("id", "type", "url", "source", "title", "payload", "etag", "content_hash")
+    listed = Target(spark, f"{root}/manifest")
     if "discover" in stages:
-        target = Target(spark, f"{root}/manifest")
         found = known.select("id", "type", "url", "source", "title").withColumn("status", F.lit("discovered"))
-        old = target.read()
-        new = manifest.insert_ignore(old.select(*found.columns), found).join(old.select("id"), "id", "left_anti") if old is not None else manifest.merge_discoveries(found)
-        taken["discover"] = _publish(target, new)
+        taken["discover"] = _publish(listed, _unlisted(listed, found))
     texts = Target(spark, f"{root}/texts")
     if "normalize" in stages:
         state = texts.state()
         todo = known if state is None else pending(known, state)
-        done = normalize(todo).join(todo.select("id", "type", "url", "title", "etag", "content_hash"), "id")
-        taken["normalize"] = _publish(texts, done)
+        summaries, files = unpack(todo)
+        done = normalize(todo).unionAll(summaries).join(todo.select("id", "type", "url", "title", "etag", "content_hash"), "id")
+        # a file's version is its content, so only the changed files of a new archive are indexed and embedded again
+        files = files.join(known.select("id"), "id", "left_anti").withColumns({"type": F.lit("code_file"), "content_hash": text.content_hash(F.col("text"))})
+        gone, old = None, texts.read()
+        if old is not None and "archive" in old.columns:
+            gone = old.join(summaries.where("error IS NULL").select(F.col("id").alias("archive")), "archive", "left_semi").select("id").join(files.select("id"), "id", "left_anti")
+        code = files.select("id", "type", "url", F.lit("sample-extract").alias("source"), "title", F.lit("normalized").alias("status"))
+        _publish(listed, _unlisted(listed, code), gone)
+        taken["normalize"] = _publish(texts, done.unionByName(files, allowMissingColumns=True), gone)
     contents = Target(spark, f"{root}/content")
     if "index" in stages and texts.current():
         ready, state = texts.read().where("error IS NULL"), contents.state()
         todo = ready if state is None else pending(ready, state)
         rows = index(todo).join(todo.select("id", "etag", "content_hash"), "id")
-        taken["index"] = _publish(contents, rows)
+        old = contents.read()
+        gone = old.select("id").distinct().join(texts.read().select("id"), "id", "left_anti") if old is not None else None
+        taken["index"] = _publish(contents, rows, gone)
     vectors = Target(spark, f"{root}/vectors")
     if "embed" in stages and contents.current():
         content, old = contents.read(), vectors.read()
@@ -86,6 +118,12 @@ def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] |
     return taken
 
 
+def _unlisted(target: Target, found: DataFrame) -> DataFrame:
+    """The resources of `found` that the manifest doesn't list yet."""
+    old = target.read()
+    return manifest.insert_ignore(old.select(*found.columns), found).join(old.select("id"), "id", "left_anti") if old is not None else manifest.merge_discoveries(found)
+
+
 def _publish(target: Target, rows: DataFrame, gone: DataFrame | None = None) -> int:
     """Publish rows, and drop those of the ids in `gone`, unless there are none; the number of new rows."""
     if rows.isEmpty() and (gone is None or gone.isEmpty()):

@@ -1,5 +1,9 @@
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
+from heliodor.functions import text
 from heliodor.operators import embedding, incremental
 from heliodor.plans import sync
 
@@ -32,3 +36,44 @@ def test_vectors_without_versions_are_replaced(spark, tmp_path):
     incremental.Target(spark, f"{root}/vectors").publish(spark.range(1).select(F.col("id").alias("content_rowid"), F.array(F.lit(0.0).cast("float")).alias("embedding"), F.lit("0").alias("id")))
     sync.sync(spark, root, raw, {"index": True})
     assert [r["id"] for r in read(spark, tmp_path, "vectors").collect()] == ["1"]
+
+
+def archive(files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path, body in files.items():
+            z.writestr(path, body)
+    return bytearray(out.getvalue())
+
+
+def test_archives_become_code_files(spark, tmp_path):
+    root, schema = f"file://{tmp_path}/s", RAW.replace("payload string", "payload binary")
+    rows = [("1", "sample", "u/a.zip", "x", "A", archive({"A/b.swift": "let b", "A/c.m": "c", "A/logo.png": b"\x89", "A/.h.swift": "x"}), "e", "h"), ("2", "sample", "u/none.zip", "x", None, archive({"r.txt": ""}), "e", "h"), ("3", "sample", "u/bad.zip", "x", "B", bytearray(b"no zip"), "e", "h")]
+    first = sync.sync(spark, root, spark.createDataFrame(rows, schema))
+    assert first == {"discover": 3, "normalize": 5, "index": 4, "embed": 4}
+    texts = {r["url"]: (r["title"], r["text"], r["error"] is None) for r in read(spark, tmp_path, "texts").collect()}
+    summary = "# A\n\nURL: u/a.zip\n\n## Source Files (2)\n\n### A/b.swift\n\n```swift\nlet b\n```\n\n### A/c.m\n\n```objc\nc\n```\n\n"
+    assert texts == {"u/a.zip": ("A", summary, True), "u/none.zip": (None, "# Sample Code\n\nURL: u/none.zip\n\n## Source Files (0)\n\n", True), "u/bad.zip": ("B", None, False), "u/a.zip#A/b.swift": ("A - b.swift", "let b", True), "u/a.zip#A/c.m": ("A - c.m", "c", True)}
+    code = read(spark, tmp_path, "manifest").where("type = 'code_file'").select("id", "url", "source", "status")
+    assert sorted(code.drop("id").collect()) == [("u/a.zip#A/b.swift", "sample-extract", "normalized"), ("u/a.zip#A/c.m", "sample-extract", "normalized")]
+    assert code.where(F.col("id") != text.url_id(F.col("url"))).count() == 0
+    # a new archive: one file as it was, one gone, one new
+    rows[0] = (*rows[0][:5], archive({"A/b.swift": "let b", "A/d.c": "d"}), "e2", "h2")
+    second = sync.sync(spark, root, spark.createDataFrame(rows, schema))
+    assert (second["index"], second["embed"]) == (2, 2)
+    for name in ("manifest", "texts", "content"):
+        assert sorted(r["url"] for r in read(spark, tmp_path, name).where("type = 'code_file'").collect()) == ["u/a.zip#A/b.swift", "u/a.zip#A/d.c"], name
+    assert read(spark, tmp_path, "vectors").count() == read(spark, tmp_path, "content").count() == 4
+
+
+def test_transcripts_of_old_pages(spark):
+    pages = {
+        "json": """<script>{"transcript": [{"text": "one"}, {"at": 1}, "x", {"text": "two"}]}</script><p>page</p>""",
+        "div": """<div id="a" class="x transcript-y"><p>said</p></div><p>page</p>""",
+        "broken": """<html>{"transcript": [{'text': 'one'}]}<div class="transcript">said</div>""",
+        "page": "<p>page</p>",
+        "empty": "",
+    }
+    rows = spark.createDataFrame([(k, "talk", "u", "T", v) for k, v in pages.items()], "id string, type string, url string, title string, payload string")
+    head = "# T\n\nURL: u\n\n"
+    assert {r["id"]: r["text"].removeprefix(head) for r in sync.normalize(rows).collect()} == {"json": "## Transcript\n\none two\n", "div": "## Transcript\n\nsaid\n", "broken": "## Transcript\n\nsaid\n", "page": "## Content\n\npage\n", "empty": ""}
