@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heliodor.operators.incremental import Target, pending
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row for each id: the last by fetched_at, where there is one, then etag and content_hash, nulls first."""
+    order = [c for c in ("fetched_at", "etag", "content_hash") if c in rows.columns]
+    picked = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row"))  # combined before the shuffle
+    return picked.select("row.*")
+
+
 def ingest(spark: SparkSession, folder: str, schema: str, target_root: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
     """A stream over the Parquet files of `folder`, whose rows need id, etag and content_hash.
 
-    Each micro-batch publishes what the target doesn't hold in that version. A batch that is run again after a failure finds its
+    Each micro-batch publishes what the target doesn't hold in that version; of several versions of a record in a batch the one
+    that `latest` picks, so rows should have fetched_at too. A batch that is run again after a failure finds its
     rows in the target and publishes nothing, so records are neither skipped nor repeated.
     """
     target = Target(spark, target_root)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         state = target.state()
-        new = (batch if state is None else pending(batch, state)).dropDuplicates(["id"])
+        last = latest(batch)
+        new = last if state is None else pending(last, state)
         if not new.isEmpty():
             target.publish(new)
 
