@@ -57,16 +57,16 @@ def _signer(size: int, least_words: int, bands: int, rows: int, seed: int):
                 bit = (((m64 + np.uint64(1)) * salt) >> np.uint64(40)) % np.uint64(SKETCH_BITS)
                 parity = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
                 same = xxhash.xxh3_128_digest(" ".join(words))
-                out.append((key, same, keys.view(np.int64), np.packbits(parity).view(np.int64)))
-            yield pd.DataFrame(out, columns=["key", "same", "bands", "sketch"])
+                out.append((key, same, xxhash.xxh3_128_digest(text), keys.view(np.int64), np.packbits(parity).view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "same", "equal", "bands", "sketch"])
 
     return sign
 
 
 def signatures(df: DataFrame, key: str, text: str, size: int, least_words: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
-    """(key, same, bands, sketch) of every text with at least `least_words` words and one shingle. Null keys and texts have none."""
+    """(key, same, equal, bands, sketch) of every text with at least `least_words` words and one shingle. Null keys and texts have none."""
     rows_in = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return spread(rows_in, "key").mapInPandas(_signer(size, least_words, bands, rows, seed), "key bigint, same binary, bands array<bigint>, sketch array<bigint>")
+    return spread(rows_in, "key").mapInPandas(_signer(size, least_words, bands, rows, seed), "key bigint, same binary, equal binary, bands array<bigint>, sketch array<bigint>")
 
 
 def estimate(sketch_a: Column, sketch_b: Column, samples: int) -> Column:
@@ -104,7 +104,7 @@ def _exact(size: int, threshold: float):
 class NearDuplicates:
     """The result of `near_duplicates`.
 
-    members: (key, rep): each text with the smallest key of the texts with exactly its words.
+    members: (key, rep, first): each text with the smallest key of the texts with exactly its words, and of those equal to it.
     links: (a, b, similarity): pairs of reps, a < b, at or above the threshold.
     """
 
@@ -121,15 +121,16 @@ class NearDuplicates:
     def pairs(self, expand: int = 32) -> DataFrame:
         """(a, b) of keys, a < b.
 
-        A class of up to `expand` copies takes part with all its members. A larger one takes part through its rep, beside
-        the pairs (rep, member), so no link is lost and the output grows in step with the rows whatever a class holds.
+        Up to `expand` equal texts take part each for itself. Of more, the first takes part, beside the pairs (first, copy), so
+        the output grows in step with the rows whatever number of copies a text has. Texts of the same words that differ
+        in case, punctuation or layout are different texts: all pairs of them are given, and all their links.
         """
-        sizes = self.members.groupBy("rep").agg(F.count("*").alias("copies")).where("copies > 1")
-        many = self.members.join(sizes, "rep")
-        small, large = many.where(F.col("copies") <= expand), many.where(F.col("copies") > expand)
-        inside = small.alias("x").join(small.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        stars = large.where("key > rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-        stand_ins = small.select("rep", "key")
+        groups = self.members.groupBy("rep", "first").agg(F.count("*").alias("copies"))
+        several = groups.groupBy("rep").agg(F.sum("copies").alias("of_class")).where("of_class > 1")
+        many = self.members.join(groups.join(several, "rep").select("rep", "first", "copies"), ["rep", "first"])
+        stand_ins = many.where((F.col("copies") <= expand) | (F.col("key") == F.col("first"))).select("rep", "key")
+        inside = stand_ins.alias("x").join(stand_ins.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        stars = many.where((F.col("copies") > expand) & (F.col("key") > F.col("first"))).select(F.col("first").alias("a"), F.col("key").alias("b"))
         across = (
             self.links.join(stand_ins.select(F.col("rep").alias("a"), F.col("key").alias("ka")), "a", "left")
             .join(stand_ins.select(F.col("rep").alias("b"), F.col("key").alias("kb")), "b", "left")
@@ -152,8 +153,9 @@ def near_duplicates(
     if margin is None:
         margin = 5 * math.sqrt(threshold * (1 - threshold) / samples + SKETCH_BITS / (16 * samples**2) * (math.exp(4 * samples * (1 - threshold) / SKETCH_BITS) - 1) / 2)
     signed = materialise(signatures(df, key, text, size, least_words, bands, rows, seed), "signatures")
-    reps = signed.groupBy("same").agg(F.min("key").alias("rep"))
-    members = materialise(signed.select("key", "same").distinct().join(reps, "same").select("key", "rep"), "members")
+    firsts = signed.groupBy("same", "equal").agg(F.min("key").alias("first"))
+    reps = firsts.groupBy("same").agg(F.min("first").alias("rep"))
+    members = materialise(signed.select("key", "same", "equal").distinct().join(firsts.join(reps, "same"), ["same", "equal"]).select("key", "rep", "first"), "members")
     one_each = signed.join(members.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"])
 
     banded = one_each.select("key", F.explode("bands").alias("band"))

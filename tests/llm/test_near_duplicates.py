@@ -64,3 +64,13 @@ def test_shingles_tell_order_and_repeats():
     a, b = shingle_hashes(["x", "y", "z"], 3, table), shingle_hashes(["z", "y", "x"], 3, table)
     assert len(a) == 1 and a[0] != b[0] and not len(shingle_hashes(["x"], 3, table))
     assert len(np.unique(shingle_hashes(["x", "y"] * 5, 2, table))) == 2
+
+
+def test_different_texts_of_the_same_words_are_all_paired(spark):
+    words = [f"w{i}" for i in range(100)]
+    body, near = " ".join(words), " ".join([*words[:-1], "other"])
+    texts = {i: body for i in range(1, 35)} | {35: body.upper(), 36: body.replace(" ", "\n"), 37: near}
+    found = near_duplicates(spark.createDataFrame(list(texts.items()), "key bigint, text string"), "key", "text", size=3)
+    star = {(1, i) for i in range(2, 35)}
+    assert sorted(map(tuple, found.pairs().collect())) == sorted(star | {(1, 35), (1, 36), (35, 36), (1, 37), (35, 37), (36, 37)})
+    assert found.pairs(40).count() == 37 * 36 // 2
