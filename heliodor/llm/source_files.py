@@ -38,13 +38,15 @@ _FOREIGN_NOTE = re.compile(
 _MADE_LINE = re.compile(r"\b_?(?:unique)?storage\(?\)?\._\w|\b_hasBits\s*&|\bdecodeSingular\w*Field|\bdecodeRepeated\w*Field|\b(?:Image|Color|Data|Font)Asset\(name:\s*\"[^\"]*\",\s*tag:\s*0x|\b_uniqueStorage\(\)|\bvisitSingular\w*Field|\bProtobuf_\w+|\bfileprivate\s+(?:static\s+)?var _\w+_:|\bGENERATED_\w+|\b__typename\b")
 _BANNER = re.compile(r"^\s*/\*![^\n]{0,200}\bv?\d+(?:\.\d+)+")
 _COMMENT_LINE = re.compile(r"^\s*(?://|/\*|\*|#(?!include|import|pragma|define|if|endif|else)|--|;|<!--|%)")
+#: A comment's mark at the margin (a block's star may stand one in) and the words before what a note says of its file.
+_NOTE_START = re.compile(r"^(?://+!?|/\*+!?| ?\*+|#+(?!include|import|pragma|define|if|endif|else)|--+|;+|<!--+|%+)\s*(?:(?:note|warning|attention)\s*[:!]\s*)?(?:this (?:file|code|source) (?:is|was)\s+(?!(?:auto|generated)))?", re.I)
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*(?![\w.])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _HEX = re.compile(r"(?<![\w])[0-9a-fA-F]{32,}(?!\w)")
 _KEYED = re.compile(r"\"\w{1,24}\"\s*:\s*")
 _WORDS = re.compile(r"[A-Za-z]{2,}")
 
-#: Head and tail lines that may carry notes.
+#: Head and tail lines whose comments may carry notes in any form; elsewhere a comment at the margin must begin with the note.
 HEAD, TAIL = 40, 12
 #: Share of the rarity of a file's lines that third-party files must hold.
 CONTAINED = 0.6
@@ -88,8 +90,11 @@ def judge_text(path: str, body: str) -> str | None:
     head = "\n".join(_comments(lines[:HEAD])[:16])
     if any(_MADE_NOTE.search(n) for n in notes) or _MADE_NOTE.search(" ".join(n.strip(" */#") for n in notes[:6])):
         return "generated"
-    if _FOREIGN_NOTE.search(head):
+    said = [line[m.end() :] for line in _comments(lines) if (m := _NOTE_START.match(line))]
+    if _FOREIGN_NOTE.search(head) or any(_FOREIGN_NOTE.match(x) for x in said):
         return "third-party"
+    if any(_MADE_NOTE.match(x) for x in said):
+        return "generated"
     code = [x for x in lines if x.strip()]
     if len(code) >= 6 and sum(bool(_MADE_LINE.search(x)) for x in code) >= 0.3 * len(code):
         return "generated"

@@ -38,3 +38,15 @@ def test_edited_copies_are_found_by_their_lines(spark):
     df = spark.createDataFrame([(*r, "p", 1) for r in rows], "id string, url string, body string, local_path string, reason int")
     assert sorted(tuple(r) for r in judge_files(df).collect()) == [("copy", "third-party copy"), ("lib", "third-party")]
     assert judge_files(df.where(F.lit(False))).count() == 0
+
+
+def test_notes_anywhere_in_a_file():
+    code = [f"let value{i} = compute(input: {i}, scale: other{i})" for i in range(60)]
+    licence = ["/*", *(f" * Licence text, line {i}." for i in range(50)), " */"]
+    at = lambda line: "\n".join([*code, line, *code])
+    assert judge_text("A/a.swift", "\n".join([*licence, "// This file was generated by tool 3", *code])) == "generated"
+    assert judge_text("A/a.swift", at("// @generated")) == "generated"
+    assert judge_text("A/a.swift", at("// Copied from libfoo 2.1")) == "third-party"
+    assert judge_text("A/a.swift", at("/* This file is part of foo v1.2 */")) == "third-party"
+    for mention in ("    // copied from the cell above", "// The keys are those that were copied from the cell", "// We skip files marked @generated", 'let note = "// @generated"', "x // @generated"):
+        assert judge_text("A/a.swift", at(mention)) is None, mention
