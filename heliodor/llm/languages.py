@@ -2,7 +2,7 @@
 
 For each language a byte context tree of order 4 is fitted and frozen. The code length of a sentence under a language is exact:
 a byte seen after its longest context costs its share there, a byte not seen pays the escape of that context and is coded with
-the next shorter one. A document is cut into sentences of prose (comments in code included; headings, code, API names and
+the next shorter one. A document is cut into sentences of prose (of a code file its comments; headings, code, API names and
 quotations left out) and each is given a language by the shortest code, where a change of language costs extra bits.
 
 The trees are fitted on a bounded sample of labelled rows. As labels can be wrong, further fits use only the sentences that
@@ -49,6 +49,8 @@ ORDER, FIT_DOCS, FIT_CHARS, SWITCH_BITS = 4, 200, 3_000, 14.0
 ROUNDS, CLEAR_BITS = 3, 6.0
 #: Consecutive sentences that make a language one of the document's.
 RUN = 2
+#: Documents that are judged together.
+_PART = 2_000
 _PAD = b"\n" * (ORDER + 1)
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
@@ -93,7 +95,8 @@ def _comment_lines(code: str) -> Iterator[str]:
 def sentences(text: str | None, code: bool = False) -> list[str]:
     """The prose sentences of a document, in order, lower-cased and without names, quotations and marks.
 
-    `code`: the whole text is code, so only its comments are prose. Null and empty texts have none.
+    `code`: the whole text is code, so only its comments are prose. A fenced block inside another document is code and has
+    no prose, its comments included. Null and empty texts have none.
     """
     if not text:
         return []
@@ -106,25 +109,14 @@ def sentences(text: str | None, code: bool = False) -> list[str]:
     else:
         if "<" in text:
             text = _OTHER_TAG.sub(" ", _TAG.sub("\n", text))
-        lines, fence, held = [], None, []
+        lines, fence = [], None
         for line in text.split("\n"):
             m = _FENCE.match(line)
-            if fence is None and m:
-                fence, held = m.group(1), []
+            if m and (fence is None or line.strip().startswith(fence)):
+                fence = m.group(1)[:3] if fence is None else None
                 lines.append("")
-            elif fence is not None and m and line.strip().startswith(fence[:3]):
-                fence = None
-                lines += [*_comment_lines("\n".join(held)), ""]
-            elif fence is not None:
-                held.append(line)
-            elif _HEADING.match(line):
-                lines.append("")
-            elif line.lstrip().startswith((">", "|")):
-                lines.append("")
-            else:
-                lines.append(line)
-        if fence is not None:
-            lines += _comment_lines("\n".join(held))
+            elif fence is None:
+                lines.append("" if _HEADING.match(line) or line.lstrip().startswith((">", "|")) else line)
     units: list[str] = []
     open_unit = False
     for line in lines:
@@ -227,36 +219,31 @@ class Models:
         return out
 
     def bits(self, units: list[str]) -> np.ndarray:
-        """Code length of each unit under each language."""
-        out = np.zeros((len(units), len(LANGUAGES)))
-        at = 0
-        while at < len(units):
+        """Code length of each unit under each language. Units that occur several times are coded once."""
+        places = {u: i for i, u in enumerate(dict.fromkeys(units))}
+        distinct, at = list(places), 0
+        out = np.zeros((len(distinct), len(LANGUAGES)))
+        while at < len(distinct):
             size, end = 0, at
-            while end < len(units) and (size < 60_000 or end == at):
-                size += len(units[end])
+            while end < len(distinct) and (size < 60_000 or end == at):
+                size += len(distinct[end])
                 end += 1
-            out[at:end] = self._bits(units[at:end])
+            out[at:end] = self._bits(distinct[at:end])
             at = end
-        return out
+        return out[[places[u] for u in units]]
 
     def _bits(self, units: list[str]) -> np.ndarray:
         coded = [u.encode("utf-8", "replace") for u in units]
         data = np.frombuffer(_PAD + _PAD.join(coded) + _PAD, np.uint8)
         n = len(data) - ORDER
-        cost, seen_as_context = None, None
+        cost = context = None
         for m in range(1, ORDER + 2):
+            rows = self._find(m, _grams(data, m))
             # position p of the result is byte ORDER + p of data
-            ids = self._find(m, _grams(data, m))[ORDER + 1 - m :][:n]
-            here = self.cost[m - 1][ids]
-            if m == 1:
-                cost = np.where(np.isnan(here), self.bottom, here)
-            else:
-                context = seen_as_context
-                cost = np.where(np.isnan(here), self.escape[m - 2][context] + cost, here)
+            here = self.cost[m - 1][rows[ORDER + 1 - m :][:n]]
+            cost = np.where(np.isnan(here), self.bottom if m == 1 else self.escape[m - 2][context] + cost, here)
             # the string of length m that ends one byte earlier is the context of the next order
-            if m <= ORDER:
-                before = self._find(m, _grams(data, m))[ORDER - m :][:n]
-                seen_as_context = before
+            context = rows[ORDER - m :][:n] if m <= ORDER else None
         starts = np.cumsum([0] + [len(c) + len(_PAD) for c in coded[:-1]]) + len(_PAD) - ORDER
         lengths = np.array([len(c) for c in coded])
         sums = np.vstack([np.zeros((1, len(LANGUAGES))), np.cumsum(cost, axis=0, dtype=np.float64)])
@@ -340,10 +327,7 @@ def label_language(label: Column) -> Column:
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, label: str, kind: str | None) -> list[tuple[str, list[str]]]:
-    """Sentences of about FIT_DOCS documents a language, never more than twice that for all, chosen by a hash of the key.
-
-    Code inside a document is left out here, as its comments are often in another language than the label.
-    """
+    """Sentences of about FIT_DOCS documents a language, never more than twice that for all, chosen by a hash of the key."""
     rows = df.where(F.col(text).isNotNull()).withColumn("__lang", label_language(F.col(label))).where("__lang IS NOT NULL")
     counts = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).collect()}  # nine rows at most
     if not counts:
@@ -352,7 +336,7 @@ def labelled_sample(df: DataFrame, key: str, text: str, label: str, kind: str |
     for lang, n in counts.items():
         share = F.when(F.col("__lang") == lang, F.lit(min(1.0, FIT_DOCS / n))).otherwise(share)
     code = (F.col(kind) == "code_file") if kind else F.lit(False)
-    picked = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0 < share).select("__lang", F.regexp_replace(F.substring(F.col(text), 1, FIT_CHARS), r"(?s)```.*?(?:```|$)", "\n").alias("t"), F.coalesce(code, F.lit(False)).alias("c"))
+    picked = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0 < share).select("__lang", F.substring(F.col(text), 1, FIT_CHARS).alias("t"), F.coalesce(code, F.lit(False)).alias("c"))
     return [(r["__lang"], sentences(r["t"], r["c"])) for r in picked.limit(2 * FIT_DOCS * len(LANGUAGES)).collect()]
 
 
@@ -367,8 +351,8 @@ def identify(df: DataFrame, key: str, text: str, kind: str | None, models) -> Da
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), _PART):
+                part = batch.iloc[at : at + _PART]
                 docs = [sentences(t, c) for t, c in zip(part["text"], part["code"])]
                 bits = models.value.bits([u for d in docs for u in d])
                 out, start = [], 0
