@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from heliodor.llm import source_files
 from heliodor.llm.source_files import judge_files, judge_path, judge_text
 
 OWN = "import AppKit\n\nstruct Window{i}: View {{\n    /// Shows the rows of model {i}.\n    func update{i}() -> Int {{\n        return rows{i}.count + {i}\n    }}\n    var title{i}: String = \"Window {i}\"\n}}\n"
@@ -50,3 +53,31 @@ def test_notes_anywhere_in_a_file():
     assert judge_text("A/a.swift", at("/* This file is part of foo v1.2 */")) == "third-party"
     for mention in ("    // copied from the cell above", "// The keys are those that were copied from the cell", "// We skip files marked @generated", 'let note = "// @generated"', "x // @generated"):
         assert judge_text("A/a.swift", at(mention)) is None, mention
+
+
+def test_notes_of_scripts():
+    note = "#pragma once\n/* This header was written by a script (bindtool) out of rows.csv. Please change rows.csv and run the script again. */\n" + "#define ROW_A 1\n" * 9
+    assert judge_text("A/rows.h", note) == "generated"
+    assert judge_text("A/rows.h", "\n".join(["// Licence."] * 60 + ["// This file was produced by the build tool."] + ["int a = 1;"] * 140)) == "generated"
+    assert judge_text("A/rows.h", "// The generator below writes source text for rows.\nint a = 1;\n" * 9) is None
+    assert judge_text("A/rows.h", "// Rows written by people.\nint a = 1;\n" * 9) is None
+
+
+def _plain(texts, share, least):
+    """Brute force of third_party_copies: every text against every third-party text."""
+    return sorted(t[0] for t in texts if t[2] and len(t[5]) >= least and any(s[1] and len(set(t[5]) & set(s[5])) >= -(-len(t[5]) * share // 1) for s in texts))
+
+
+@pytest.mark.parametrize(("listed", "hot"), [(8, 50_000), (1, 50_000), (1, 4)])
+def test_copies_equal_brute_force(spark, monkeypatch, listed, hot):
+    monkeypatch.setattr(source_files, "HOT", hot)
+    rng = random.Random(5)
+    libraries = [[rng.getrandbits(50) for _ in range(40)] for _ in range(3)]
+    rows = []
+    for i in range(120):
+        lines = [x if rng.random() > 0.25 + 0.15 * (i % 3) else rng.getrandbits(50) for x in libraries[i % 3]] + [7] * (i % 2)  # 7 is in many files
+        foreign = i % 4 == 0
+        rows.append((bytes([i]), foreign, not foreign or i % 8 == 0, "a" if foreign else None, "b" if foreign else None, sorted(set(lines))))
+    df = spark.createDataFrame([(bytearray(r[0]), *r[1:]) for r in rows], "same binary, foreign boolean, seeks boolean, low string, high string, lines array<bigint>")
+    found = sorted(bytes(r["same"]) for r in source_files.third_party_copies(df, 0.6, 4, listed).collect())
+    assert found == _plain(rows, 0.6, 4) and 0 < len(found) < 120
