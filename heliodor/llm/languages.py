@@ -49,8 +49,8 @@ ORDER, FIT_DOCS, FIT_CHARS, SWITCH_BITS = 4, 200, 3_000, 14.0
 ROUNDS, CLEAR_BITS = 3, 6.0
 #: Consecutive sentences that make a language one of the document's.
 RUN = 2
-#: Documents that are judged together.
-_PART = 2_000
+#: Documents that are judged together, and characters that are coded together.
+_PART, _CHUNK = 2_000, 60_000
 _PAD = b"\n" * (ORDER + 1)
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
@@ -59,6 +59,7 @@ _HEADING = re.compile(r"^\s{0,3}(?:\d{1,2}:\d\d(?::\d\d)?\s+)?#{1,6}\s")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _MARK = re.compile(r"^\s*[\[(]?\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?[\])]?\s*")
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|»[^«»]*«|「[^「」]*」|『[^『』]*』|‹[^‹›]*›|‘[^‘’\n]{1,200}’(?!\w)|(?<!\w)\"[^\"\n]*\"(?!\w)|(?<!\w)'[^'\n]{2,200}'(?!\w)|`[^`\n]*`")
+_QUOTE = re.compile(r"[“„«»「『‹‘\"'`]")
 _TAG = re.compile(r"<br\s*/?>|</?(?:p|div|li|ul|ol|tr|td|h[1-6])\b[^<>]*>", re.I)
 _OTHER_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _NAME = re.compile(r"https?://\S+|\b\w*[a-z][A-Z]\w*(?:\([^)\s]*\))?|\b[A-Z]{2,}\w*\b|\b\w*[\d_]\w*\b|\b\w+(?:\.\w+)+\b", re.A)
@@ -135,7 +136,9 @@ def sentences(text: str | None, code: bool = False) -> list[str]:
         open_unit = not part.endswith((".", "!", "?", "…", "。", "！", "？", ":", "："))
     out = []
     for unit in units:
-        for one in _END.split(_QUOTED.sub(" ", unit)):
+        if _QUOTE.search(unit):
+            unit = _QUOTED.sub(" ", unit)
+        for one in _END.split(unit):
             one = " ".join(_NAME.sub(" ", one).split()).lower()
             words = _LETTERS.findall(one)
             if len(words) >= 3 or sum(map(len, words)) >= 4 and _WIDE.search(one):
@@ -225,7 +228,7 @@ class Models:
         out = np.zeros((len(distinct), len(LANGUAGES)))
         while at < len(distinct):
             size, end = 0, at
-            while end < len(distinct) and (size < 60_000 or end == at):
+            while end < len(distinct) and (size < _CHUNK or end == at):
                 size += len(distinct[end])
                 end += 1
             out[at:end] = self._bits(distinct[at:end])
@@ -240,8 +243,13 @@ class Models:
         for m in range(1, ORDER + 2):
             rows = self._find(m, _grams(data, m))
             # position p of the result is byte ORDER + p of data
-            here = self.cost[m - 1][rows[ORDER + 1 - m :][:n]]
-            cost = np.where(np.isnan(here), self.bottom if m == 1 else self.escape[m - 2][context] + cost, here)
+            here = self.cost[m - 1].take(rows[ORDER + 1 - m :][:n], axis=0)
+            if m == 1:
+                cost = np.broadcast_to(self.bottom, here.shape)
+            else:
+                cost = np.add(self.escape[m - 2].take(context, axis=0), cost)
+            np.copyto(here, cost, where=np.isnan(here))
+            cost = here
             # the string of length m that ends one byte earlier is the context of the next order
             context = rows[ORDER - m :][:n] if m <= ORDER else None
         starts = np.cumsum([0] + [len(c) + len(_PAD) for c in coded[:-1]]) + len(_PAD) - ORDER
@@ -307,7 +315,9 @@ def stretches(units: list[str], bits: np.ndarray) -> list[tuple[int, int, str, f
     """
     if not units:
         return []
-    path, out, at = decode(bits), [], 0
+    best = bits.argmin(1)
+    # where each sentence has the same shortest code no change can pay
+    path, out, at = best if (best == best[0]).all() else decode(bits), [], 0
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[at]:
             total = bits[at:i].sum(0)
