@@ -1,6 +1,8 @@
 """Fixed values for problem 6: what template residue looks like.
 
-The phrases train the residue models; a field is judged by the models' likelihood ratios, not by equality with a phrase.
+Notices and filler are given as grammars of common wordings: `{a|b}` stands for one of its parts, which may hold others, `<n>` for a
+number and `<id>` for a name made by a machine. The residue models are trained on sentences drawn from them; a field is judged by the
+models' likelihood ratios, not by equality with a phrase.
 """
 
 #: Words of the usual dummy text.
@@ -12,42 +14,80 @@ DUMMY_WORDS = (
     "augue ornare massa ante donec eget sapien tortor viverra mauris pellentesque habitant morbi tristique senectus netus malesuada"
 ).split()
 
-FILLER = (
-    "Text goes here.", "Description goes here.", "Summary goes here.", "Transcript goes here.", "Abstract goes here.", "Title goes here.",
-    "Content goes here.", "Your text here.", "Insert text here.", "Add text here.", "Enter description here.", "Add your content here.",
-    "Text text text text text.", "Text Text Text Text Text Text.", "xxxx xxxx xxxx xxxx", "XXX XXX XXX XXX", "xxxx XXX xxxx XXX xxxx",
-    "asdf asdf asdf", "blah blah blah blah.", "foo bar baz foo bar baz", "This is placeholder text.", "Placeholder text.", "Sample text sample text.",
-    "Dummy text dummy text.", "To be written.", "To be added.", "Coming soon.", "Content to follow.", "Test test test test.",
-    "This is a sample description.", "Replace this text with your own.", "Description to come.", "Details to be determined.",
-)
+_OBJECT = "{page|file|document|article|address|link|video|resource|content|URL|site|item}"
+_WHERE = "{this|the|that|our|your}"
+_SEE = "{view|see|use|open|load|read|access|display|watch}"
+_SCRIPT = "{JavaScript|scripts|scripting|JavaScript support}"
 
-ERRORS = (
-    "404 Not Found", "404: Not Found", "404: Page not found.", "HTTP 404 - Not Found", "HTTP 404", "HTTP 404: Page not found.", "Error 404", "HTTP 404 - We could not find that page.",
-    "Page not found.", "Not found.", "The page you are looking for can't be found.", "The page you’re looking for can’t be found.", "Sorry, this page has moved or never existed.",
-    "We can't find the page you requested.", "This page does not exist.", "Nothing to see at this address.", "There is nothing here.", "The requested URL was not found on this server.",
-    "Check the address and try again.", "Return to the overview.", "Back to the start page", "Visit the site map.", "Search again.", "Go back to the home page.",
-    "Seite nicht gefunden", "Page introuvable (404)", "Página no encontrada", "Página não encontrada", "Pagina non trovata", "Pagina niet gevonden", "ページが見つかりません", "找不到页面", "页面不存在",
-    "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Time-out", "504 Gateway Timeout", "403 Forbidden", "401 Unauthorized", "429 Too Many Requests", "400 Bad Request", "410 Gone",
-    "The server encountered an internal error.", "Something went wrong.", "An unexpected error occurred.", "An error occurred while processing your request.", "Please try again later.", "Try again in 60 seconds.", "Upstream request timed out.", "The connection has timed out.",
-    "Service temporarily unavailable.", "The server is temporarily unable to service your request.", "nginx", "cloudflare", "cache-ef4a", "edge-6ec3", "proxy-fe7a", "Reference #4da6da1a2a4e", "Request ID: 8a7b6c5d4e3f", "Incident ID: 3df6f84006d1",
-    "Access denied.", "Access to this resource is denied.", "You don't have permission to view this resource.", "You don’t have permission to view this resource.", "You do not have permission to access this page.", "Request blocked.", "Your request has been blocked.", "Forbidden.",
-    "Too many requests.", "Rate limit reached.", "Rate limit exceeded.", "Slow down, please.", "Quota exceeded.",
-    "Please sign in to continue.", "Sign in to continue.", "Sign in to view this page.", "You need to sign in to see this page.", "Log in again to see this content.", "Your session has expired.", "You have been signed out.", "Please log in to view this content.", "Session timed out.", "Sign in required.", "Login required.", "Authentication required.",
-    "We’ll be back soon.", "We'll be back soon.", "Our site is down for maintenance.", "Our library is down for maintenance.", "Our video service is down for maintenance.", "Down for maintenance.", "Scheduled maintenance in progress.", "The site is undergoing maintenance.", "Please come back later.", "This service is currently unavailable.",
-    "This page requires JavaScript.", "Please turn on JavaScript in your browser and refresh the page to view its content.", "Please enable JavaScript to view this page.", "You need to turn scripts on to use this site.", "You need to enable JavaScript to run this app.", "JavaScript is disabled in your browser.", "JavaScript is required.",
-    "Your browser has scripting switched off, so the player can’t load.", "Your browser does not support JavaScript.", "Enable scripts to play this video.", "This video can't be played because scripts are turned off.", "This site needs JavaScript.", "Bitte aktivieren Sie JavaScript.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher cette page.", "Active JavaScript para ver esta página.", "Ative o JavaScript para ver esta página.", "Attiva JavaScript per visualizzare questa pagina.", "Abilita JavaScript per vedere questa pagina.", "Schakel JavaScript in om deze pagina te bekijken.", "このページを表示するには JavaScript を有効にしてください。", "このページを表示するには、JavaScriptを有効にしてください。", "JavaScriptを有効にしてください。", "请启用JavaScript以查看此页面。", "要查看此页面，请启用 JavaScript。", "您需要启用JavaScript才能查看此内容。", "请启用 JavaScript 以查看此页面。", "Melden Sie sich an, um fortzufahren.", "Zugriff verweigert.", "Accès refusé.", "Acceso denegado.", "Acesso negado.", "Accesso negato.", "Toegang geweigerd.",
-    "This video is not available.", "This content is not available in your region.", "The transcript could not be loaded.", "Transcript not available.", "Failed to load content.", "Unable to load this page.", "Loading...",
-)
+#: Filler by family of wordings.
+FILLER = {
+    "goes here": ("{Text|Description|Summary|Transcript|Abstract|Title|Content|Overview|Caption|Heading|Body text|Introduction|Paragraph|Discussion|Your text|The text} {goes|comes|will go} here{.|}",),
+    "insert here": ("{Insert|Add|Enter|Put|Type|Write|Paste} {your |a |the |some |}{text|description|summary|content|title|abstract|caption|overview} here{.|}",),
+    "repeated word": ("{Text|Test|Sample|Dummy|Content|Words} {text|test} {text|test} {text|test}{ text| test|}{ text| test|}{.|}", "text text text text text text text.", "Text Text Text Text Text text."),
+    "repeated marks": ("{xxxx|XXX} {xxxx|XXX} {xxxx|XXX} {xxxx|XXX}{ xxxx| XXX|}{ xxxx| XXX|}{ xxxx| XXX|}", "asdf asdf asdf asdf", "qwerty qwerty asdf asdf", "blah blah blah{ blah|}.", "foo bar baz foo bar baz"),
+    "placeholder text": ("{This is {a |some |}|}{placeholder|sample|dummy|filler|example|test} {text|content|copy|description|paragraph}{.| only.| for now.}", "Replace {this|the} {text|sample|placeholder|description} with {your own|real text|real content|the final text}."),
+    "to come": ("{Description|Text|Content|Details|Summary|Transcript|More|Documentation} {to come|to follow|to be added|to be written|to be determined|coming soon|will be added later|will follow}{.|}", "Coming soon{.|}", "To be {written|added|done|completed|announced|determined}."),
+}
+
+#: Error, sign-in, maintenance and access messages and notices that scripts are needed, by family of wordings.
+NOTICES = {
+    "status line": (
+        "404{: | - | }{Not found|Page not found}{.|}", "{HTTP|Error} {404|500|503}{.|}",
+        "{HTTP |Error |HTTP error |Status |}{404|410}{ - |: | }{Not found|Page not found|File not found|Gone|We could not find {that|this|the} " + _OBJECT + "}{.|}", "{HTTP |Error |Error code |}{404|410|500|502|503|504|403|401|429|400}{.|}",
+        "{HTTP |Error |HTTP error |}{500|502|503|504|520}{ - |: | }{Internal Server Error|Bad Gateway|Service Unavailable|Gateway Timeout|Gateway Time-out|Server error}{.|}", "{HTTP |Error |}{403|401|429|400|405|451}{ - |: | }{Forbidden|Unauthorized|Too Many Requests|Bad Request|Access denied|Method not allowed}{.|}",
+    ),
+    "missing page": (
+        "{Sorry, |Oops! |}" + _WHERE + " " + _OBJECT + " {you requested |you asked for |you are looking for |you’re looking for |you're looking for |you want |}{does not exist|doesn't exist|doesn’t exist|can’t be found|can't be found|cannot be found|could not be found|is missing|was not found|wasn't found|has been removed|has been deleted|has moved|no longer exists|never existed}{ or {has moved|was removed|was deleted|never existed|has been renamed}|}{ on this server|}.",
+        "{We|You} {can't|can’t|cannot|could not|couldn't} {find|locate} " + _WHERE + " " + _OBJECT + "{ you requested| you asked for|}.", "{Page|File|Document|Article|Resource|Address|Video|Content} {not found|missing|does not exist|has moved}{.|}", "{There is|There's} nothing {here|at this address|to see here|at this location}.", "Nothing {found|to see|here|to show} {at|under} this {address|location|URL|link}.", "{Not found|Nothing found|Nothing here}.",
+    ),
+    "way out": (
+        "{Please |}{check|verify} {the|your} {address|URL|spelling|link|connection}{ and {try|search} again|}.", "{Return|Go|Go back|Back|Click here to return|Take me} to the {overview|home page|homepage|start page|front page|main page|previous page|index|library}{.|}", "{Visit|See|Use|Try|Open} {the|our} {site map|sitemap|help page|search page|start page}{.|}", "{Search|Try|Load|Refresh|Reload} {again|the page|the site|this site|later}{.|}",
+    ),
+    "server failure": (
+        "{The|Our} {server|service|system|site|application} {encountered|ran into|has met|reported|returned} {an internal|an unexpected|an unknown|an|a temporary} {error|problem}{ and could not complete your request|}.", "{Something|Something unexpected} went wrong{ on our end|}{.|!}", "An {unexpected|unknown|internal|application} error {occurred|has occurred|happened}{ while {processing|handling} your request|}.", "{Please |}{try|come back|check back} {again |}{later|soon|in a few minutes|in <n> seconds|in <n> minutes|after some time}.",
+        "{Upstream|The upstream} {request|server|connection} {timed out|failed|has timed out}.", "{The|Your} {connection|request|operation} {has timed out|timed out|was reset|was closed|failed}.", "{This|The|Our} {service|server|site|page|video|video service|content} is {temporarily unavailable|currently unavailable|not available|unavailable|down|offline|temporarily unable to service your request}.", "{Service|Server|Site|Video|Content|Transcript|Page|Player} {temporarily |currently |}{unavailable|not available|could not be loaded|failed to load}.",
+        "{Failed|Unable} to load {the |this |}{content|page|video|transcript|player|data|resource}.", "Loading{...|…| content...| page...}", "{This|The} " + _OBJECT + " is not available in your {region|country|area|location}.", "{The|This} {transcript|video|content|page|player} {could not|couldn't|can’t|can't|cannot} {be loaded|be played|be shown|load}.",
+    ),
+    "server name": ("{nginx|cloudflare|apache|varnish|envoy}{/<n>.<n>.<n>|}", "{cache|edge|proxy|node|server|gateway}-<id>", "{Reference|Reference number|Incident ID|Request ID|Trace ID|Ray ID|Error ID|Ticket}{ #|: }<id>", "{Server|Host|Served by}: {cache|edge|proxy|node}-<id>"),
+    "access": (
+        "Access {to this " + _OBJECT + " |}{is denied|denied|has been denied|was refused|is forbidden|is restricted}.", "You {don't|don’t|do not} have {permission|access|the rights|authorization|the right} to " + _SEE + " {this|the|that} " + _OBJECT + "{ on this server|}.", "{Your|The|This} {request|address|connection|account} {was|has been|is} {blocked|denied|rejected|refused}.", "{Request|Connection|Access} {blocked|denied|rejected|forbidden|refused}.", "You are not {allowed|authorized|permitted} to " + _SEE + " {this|the} " + _OBJECT + ".", "Forbidden.",
+    ),
+    "rate limit": ("Too many {requests|attempts|connections|downloads}{ from {your|this} {address|network}|}.", "{Rate|Request|Usage} limit {reached|exceeded|hit}.", "{Slow|Please slow} down{, please|}.", "{Your |The |Daily |}quota {exceeded|has been exceeded|is used up}.", "You have {reached|exceeded} {the|your} {limit|quota|rate limit|number of requests}."),
+    "sign in": (
+        "{Please |You need to |You must |You have to |}{sign in|log in|login} {again |first |}to {continue|" + _SEE + " {this|the} " + _OBJECT + "}.", "{Sign in|Log in|Login|Authentication} {required|is required|needed}.", "{Your|The} session {has expired|expired|has ended|timed out|is no longer valid}.", "You have been {signed out|logged out|signed off}.", "Session {expired|timed out|ended}.",
+        "{Sign in|Log in} with your {account|password|user name|email address}{ to continue|}.", "{Only|This page is only for} {members|registered users|signed-in users|subscribers}{ can see this page|}.",
+    ),
+    "maintenance": (
+        "{We’ll|We'll|We will} be {back|right back|online again} {soon|shortly|in a few minutes|in <n> minutes}.", "{Our|The|This} {site|library|service|server|video service|system|portal|player|archive} is {down|offline|closed|unavailable} for {maintenance|scheduled maintenance|planned maintenance|repairs|an upgrade}.", "{Scheduled|Planned} maintenance {in progress|is under way}.", "{Down|Closed|Offline} for {scheduled |planned |}maintenance.", "{The|Our|This} {site|service|page|library} is {undergoing|under} {scheduled |planned |}maintenance.",
+        "{Please |}{come|check} back {later|soon|in an hour|tomorrow}.", "{We are|We're} {performing|carrying out|doing} {scheduled |planned |some |}maintenance.",
+    ),
+    "scripts needed": (
+        "{This|The|Our} " + _OBJECT + " {requires|needs|will not work without|doesn't work without|depends on} " + _SCRIPT + "{ to work| to run|}.", "{Please |You need to |You must |You have to |}{turn on|enable|activate|allow|switch on} " + _SCRIPT + " {in your browser |}{to|and reload to|and refresh the page to} " + _SEE + " {this|the|its} " + _OBJECT + ".",
+        "{Please |You need to |You must |}{turn|switch} " + _SCRIPT + " on {to|in your browser to} " + _SEE + " {this|the} " + _OBJECT + ".", _SCRIPT + " {is|are} {disabled|turned off|switched off|blocked|required|not enabled|needed}{ in your browser|}.", "Your browser {does not support|doesn't support|has disabled|blocks|is blocking} " + _SCRIPT + "{, so {the|this} {player|page|video} {can't|can’t|cannot} {load|be shown|play}|}.",
+        "Your browser has " + _SCRIPT + " {turned off|switched off|disabled}{, so {the|this} {player|page|video|content} {can't|can’t|cannot} {load|be shown|play|be played}|}.", "{This|The} {video|page|player|content} {can't|can’t|cannot} be {played|shown|loaded|displayed} because " + _SCRIPT + " {is|are} {turned off|disabled|switched off}.", "Without " + _SCRIPT + " this " + _OBJECT + " can't be {shown|loaded|displayed}.",
+    ),
+    "other languages": (
+        "{Seite|Datei|Inhalt} nicht gefunden{ (404)|}{.|}", "Bitte {aktivieren|erlauben} Sie JavaScript{, um {diese Seite|diesen Inhalt|das Video} {anzuzeigen|anzusehen|zu sehen}|}.", "{Bitte melden|Melden} Sie sich an, um {fortzufahren|diese Seite zu sehen}.", "Zugriff {verweigert|nicht erlaubt}.", "Diese Seite {benötigt|erfordert} JavaScript.", "{Der Dienst|Die Seite} ist {vorübergehend|derzeit} nicht {verfügbar|erreichbar}.",
+        "{Page|Fichier|Contenu} {introuvable|non trouvée}{ (404)|}{.|}", "Veuillez activer JavaScript{ pour {afficher|voir} {cette page|ce contenu|la vidéo}|}.", "{Accès|L'accès est} refusé.", "{Veuillez vous connecter|Connectez-vous} pour {continuer|voir cette page}.", "Le service est temporairement indisponible.",
+        "{Página|Archivo|Contenido} no {encontrada|encontrado|disponible}{ (404)|}{.|}", "{Active|Habilite|Por favor, active} JavaScript{ para {ver|mostrar} {esta página|este contenido|el vídeo}|}.", "Acceso {denegado|no permitido}.", "{Inicie|Inicia} sesión para continuar.", "El servicio no está disponible temporalmente.",
+        "{Página|Arquivo|Conteúdo} não {encontrada|encontrado|disponível}{ (404)|}{.|}", "{Ative|Habilite|Por favor, ative} {o |}JavaScript{ para {ver|exibir} {esta página|este conteúdo|o vídeo}|}.", "Acesso {negado|não permitido}.", "{Entre|Faça login} para continuar.",
+        "{Pagina|File|Contenuto} non {trovata|trovato|disponibile}{ (404)|}{.|}", "{Attiva|Abilita|Attivare} JavaScript{ per {vedere|visualizzare} {questa pagina|questo contenuto|il video}|}.", "Accesso {negato|non consentito}.", "Accedi per continuare.",
+        "{Pagina|Bestand|Inhoud} niet {gevonden|beschikbaar}{ (404)|}{.|}", "{Schakel JavaScript in|Zet JavaScript aan}{ om {deze pagina|deze inhoud|de video} te {bekijken|zien}|}.", "Toegang {geweigerd|niet toegestaan}.", "Log in om {verder te gaan|deze pagina te zien}.",
+        "{ページ|ファイル|コンテンツ}が見つかりません{。|}", "{この|}{ページ|コンテンツ|動画}を{表示|再生}するには{、|}{ |}JavaScript{ |}を有効にしてください。", "JavaScript{ |}を有効にしてください。", "アクセスが拒否されました。", "続けるにはサインインしてください。",
+        "{找不到|未找到}{页面|文件|内容}{。|}", "{页面|文件}不存在{。|}", "{请|您需要}{启用|开启|打开}{ |}JavaScript{ |}{以|才能}{查看|显示}此{页面|内容|视频}{内容|}。", "要{查看|显示}此{页面|内容}，请{启用|开启} JavaScript。", "{拒绝访问|访问被拒绝}。", "请登录以{继续|查看此页面}。",
+    ),
+}
 
-#: Ordinary sentences, some of which talk about what the other banks hold. They stand beside the texts at hand.
+#: Ordinary sentences, which stand beside the texts at hand, as a small table has few.
 PROSE = (
-    "Deprecated. Use the newer method instead.", "This method returns the value that you stored before.", "When the view changes, the system draws it again and keeps the selection.", "You can cancel a request as long as it has not been sent.",
-    "The value is undefined until the first call returns, so check for null before you use it.", "If the server answers with an error, the client waits for a few seconds and tries the request again.", "Catch the failure in the handler and try again after a few seconds.", "Catch the error in the loader and show your own message to people who are offline.",
-    "A template is filled in by the engine before the page appears.", "Writers call this kind of dummy text filler text; the layout measures real columns instead.", "Replace sample text with real content before you publish the page.",
-    "Learn how to build pages that work when scripting is turned off.", "To test pages for people who disable scripts, load the sample and compare the results.", "Ask people to sign in only when they want to save their work.", "The session ends when the window closes, and its cache is removed.",
-    "Each server owns one queue and up to eight workers.", "We looked at how the service handles maintenance without losing requests.", "The framework checks whether the app has permission to read the file.", "Keep the text short, and explain what people can do next.",
-    "Here is an example that shows how to load a page and read its address.", "Let's look at what happens when a page is not available.", "Thank you for coming to this session about performance and power.", "For larger collections, prefer the lazy version of this function.",
-    "Set the limit to a higher value if your app needs more than one connection.", "The order of the items decides which one is shown first.", "In this video we talk about layouts, animations and gestures, and how they work together.",
+    "You can choose how often the values are written, and the default is once a minute.", "The first argument names the folder, and the second one tells how deep to look.", "When a list grows, the rows below it move down and keep their own height.",
+    "We measured the time of each step and found that most of it was spent on sorting.", "If the answer takes longer than expected, the client waits and asks another server.", "An error in one part does not stop the others, and its message is kept for the report.",
+    "The page shows a title, a short text and a link to the next part of the guide.", "People who use a keyboard can reach every control with the arrow keys.", "Write down what the reader needs to know first, and leave the details for later.",
+    "This function returns the position of the first match, or nothing if there is none.", "The team looked at several ways to store the files and chose the simplest one.", "After the update the colours are brighter and the letters are easier to read.",
+    "A session keeps its settings until the window is closed, and then they are written to disk.", "Each request carries a number, so that answers can be matched with questions.", "Not every browser draws the same shapes, so compare the results on several machines.",
+    "The video explains how light travels through glass and why it bends.", "In the next chapter we build a small service that counts visitors.", "Permission is asked for once, and the choice can be changed in the settings.",
+    "Thank you all for coming, and let's begin with a short look at the past year.", "So what does that mean for you? It means that you can write less code.", "The description of the format is in the appendix, along with three examples.",
+    "Maintenance of old bridges costs more than most cities had planned.", "Please remember that the order of the steps matters.", "To see the difference, open both pictures and look at the upper left corner.",
 )
 
 #: Placeholders that a template engine, an editor or an author left unfilled.

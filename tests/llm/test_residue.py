@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,5 +54,28 @@ def test_table(spark, models):
     b = spark.sparkContext.broadcast(models)
     assert [tuple(r) for r in residue.find_residue(df, "k", "t", b).collect()] == [("a", "empty value")] * 2
     assert residue.find_residue(df.where(F.lit(False)), "k", "t", b).count() == 0
-    assert residue.prose_sample(df.where(F.lit(False)), "k", "t") == []
-    assert len(residue.fit([])) == 2
+    two = df.select("k", F.col("key").alias("reason"), F.lit(1).alias("n"), "t")
+    assert [tuple(r) for r in residue.find_residue(two, ("k", "n"), "t", b).distinct().collect()] == [("a", 1, "empty value")]
+
+
+def test_prose_is_counted_over_whole_texts(spark):
+    known = residue.Residue()
+    texts = [*PROSE, None, "", "Far into the text. " * 5000 + "The shuttle lands."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    counted, plain = residue.count_prose(df, "t", known), known.count([t for t in texts if t is not None])
+    assert all((counted[n] == plain[n]).all() for n in plain)
+    empty = residue.count_prose(df.where(F.lit(False)), "t", known)
+    assert residue.residue_reason("404 Not Found", known.fit(empty)) and not residue.residue_reason(PROSE[0], known.fit(empty))
+
+
+def test_long_fields_of_empty_values():
+    talk = "WEBVTT\n\n" + "".join(f"{i}\n00:{i // 60:02d}:{i % 60:02d}.000 --> 00:{i // 60:02d}:{i % 60:02d}.900\nnull\n\n" for i in range(600))
+    assert residue.is_empty_value(talk) and not residue.is_empty_value(talk + "words at the end")
+
+
+def test_held_out_sentences(models):
+    """Sentences of the wordings that weren't drawn for the models."""
+    rng, drawn = random.Random(99), set(residue.bank(residue.NOTICES) + residue.bank(residue.FILLER))
+    fresh = {residue.draw(w, rng) for family in (residue.NOTICES, residue.FILLER) for wordings in family.values() for w in wordings for _ in range(40)} - drawn
+    fresh = [s for s in fresh if len(s) >= 8]
+    assert len(fresh) > 500 and sum(residue.residue_reason(s, models) is not None for s in fresh) >= 0.95 * len(fresh)
