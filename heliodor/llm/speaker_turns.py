@@ -1,11 +1,12 @@
 """Problem 1: talk transcripts into clean, ordered speaker turns.
 
 A transcript of any capture format is cut into pieces by its time marks or lines, and the pieces are put in time order. Who
-speaks is decoded by a hidden Markov model whose states are the talk's listed speakers: a piece's label, compared with every
-speaker's name in the ways captions write names and with room for typing errors, is its main emission; the words of the
-pieces already labelled give each speaker a language profile; transitions prefer to stay. As a piece without a label goes on
-with the speaker before it, leaving a speaker without a label costs more than any profile can pay; profiles decide where
-nothing else does: before the first label, and where a label fits several speakers.
+speaks is decoded by a hidden Markov model whose states are the talk's listed speakers. It emits a piece's label, compared with
+every speaker's name in the ways captions write names and with room for typing errors, and its words, by a language profile of
+each speaker. A piece without a label goes on with the speaker before it, so the chain only moves at labels. Profiles and
+transitions are estimated from the talk by rounds of decoding and counting, beginning with the pieces whose label fits one
+speaker alone. They decide where labels don't: before the first label, and where a label fits several speakers or, by a
+typing error, more than one name nearly.
 
 Filler sounds and sound notes are removed, pieces with nothing left are dropped, and neighbours of one speaker are merged.
 """
@@ -49,8 +50,10 @@ _LABELS = (
 )
 _NUMBERED = re.compile(r"^(?:speaker|spk|spkr|s|voice|participant)[ _\-#]*0*(\d{1,3})$", re.I)
 
-#: Costs in nats. Leaving a speaker without a label must cost more than a profile can weigh (PROFILE_WEIGHT per piece).
-STAY, LEAVE_LABELLED, LEAVE_UNLABELLED, PROFILE_WEIGHT = 0.2, 1.5, 1e6, 1.0
+#: Nats a unit of label cost weighs; share of the evidence of a word, as neighbouring words aren't independent; the most rounds.
+LABEL_WEIGHT, WORD_WEIGHT, ROUNDS = 4.0, 0.25, 4
+#: What a word and a transition count before any was seen.
+UNSEEN_WORD, UNSEEN_MOVE = 0.5, 0.5
 
 
 class Piece(NamedTuple):
@@ -113,28 +116,36 @@ def _forms(name: str) -> dict[str, float]:
     return out
 
 
-def _fits(label: str, names: list[tuple[int, dict[str, float]]], numbers: set[int]) -> dict[int, float]:
-    """Cost of each speaker the label may name; empty if it names nobody listed."""
-    label = label.strip()
-    if m := _NUMBERED.match(label):
-        n = int(m.group(1))
-        return {n: 0.0} if n in numbers else {}
-    said = " ".join(w.lower() for w in _WORD.findall(label))
-    if not said or len(said) > 60:
-        return {}
-    out: dict[int, float] = {}
-    for number, forms in names:
-        best = math.inf
-        for form, cost in forms.items():
-            if said == form:
-                best = min(best, cost)
-            elif len(form) >= 5:
-                most = 2 if len(form) >= 9 else 1
-                if (d := _distance(said, form, most)) <= most:
-                    best = min(best, cost + 2.5 * d)
-        if best < math.inf:
-            out[number] = best
-    return out
+class Names:
+    """The listed speakers of a talk by the names and numbers a label may give them. Each different label is compared once."""
+
+    def __init__(self, listed: list[tuple[int, str | None]]):
+        self.forms = [(n, _forms(name or "")) for n, name in listed if n is not None]
+        self.numbers = {n for n, _ in self.forms}
+        self.known: dict[str, dict[int, float]] = {}
+
+    def fits(self, label: str) -> dict[int, float]:
+        """Cost of each speaker the label may name; empty if it names nobody listed."""
+        label = label.strip()
+        if label not in self.known:
+            self.known[label] = self._fits(label)
+        return self.known[label]
+
+    def _fits(self, label: str) -> dict[int, float]:
+        if m := _NUMBERED.match(label):
+            n = int(m.group(1))
+            return {n: 0.0} if n in self.numbers else {}
+        said = " ".join(w.lower() for w in _WORD.findall(label))
+        if not said:
+            return {}
+        if exact := {n: forms[said] for n, forms in self.forms if said in forms}:
+            return exact  # a name that is written as listed is no misspelling of another
+        out: dict[int, float] = {}
+        for number, forms in self.forms:
+            for form, cost in forms.items():
+                if len(form) >= 5 and (d := _distance(said, form, most := 2 if len(form) >= 9 else 1)) <= most:
+                    out[number] = min(out.get(number, math.inf), cost + 2.5 * d)
+        return out
 
 
 def strip_sounds(text: str) -> str:
@@ -147,12 +158,12 @@ def strip_sounds(text: str) -> str:
     return text if _WORD.search(text) else ""
 
 
-def _take_label(text: str, names, numbers) -> tuple[dict[int, float], str]:
+def _take_label(text: str, names: Names) -> tuple[dict[int, float], str]:
     """(speakers the label may name, the text after it)."""
     rest, lead = text, ""
     for _ in range(3):
         for form in _LABELS:
-            if (m := form.match(rest)) and (fits := _fits(m.group(1), names, numbers)):
+            if (m := form.match(rest)) and (fits := names.fits(m.group(1))):
                 return fits, lead + rest[m.end() :]
         note = _NOTE.match(rest.lstrip())
         if not note:
@@ -161,55 +172,73 @@ def _take_label(text: str, names, numbers) -> tuple[dict[int, float], str]:
     return {}, text
 
 
-def decode(pieces: list[tuple[dict[int, float], str]], speakers: list[int]) -> list[int]:
-    """The likeliest speaker of each piece: Viterbi over the listed speakers."""
-    if len(speakers) == 1:
-        return [speakers[0]] * len(pieces)
-    words = [Counter(w.lower() for w in _WORD.findall(t)) for _, t in pieces]
-    counts = {s: Counter() for s in speakers}
-    for (fits, _), said in zip(pieces, words):
-        if len(fits) == 1:
-            counts[next(iter(fits))].update(said)
-    kinds = len(set().union(*counts.values())) + 1
-    sums = {s: sum(c.values()) for s, c in counts.items()}
-
-    def profile(s: int, said: Counter) -> float:
-        n = sum(said.values())
-        if not n:
-            return 0.0
-        return PROFILE_WEIGHT * -sum(k * math.log((counts[s][w] + 0.5) / (sums[s] + 0.5 * kinds)) for w, k in said.items()) / n
-
-    cost = {s: 0.0 for s in speakers}
+def _path(pieces: list[tuple[dict[int, float], Counter]], speakers: list[int], said: dict[int, Counter], moves: dict[tuple[int, int], int]) -> list[int]:
+    """The likeliest speakers under profiles and transitions with the counts `said` and `moves`: Viterbi."""
+    kinds = len(set().union(*said.values())) + 1
+    sums = {s: sum(c.values()) for s, c in said.items()}
+    leaves = {s: sum(moves.get((s, t), 0) for t in speakers) for s in speakers}
+    move = {(s, t): -math.log((moves.get((s, t), 0) + UNSEEN_MOVE) / (leaves[s] + UNSEEN_MOVE * len(speakers))) for s in speakers for t in speakers}
+
+    def emit(fits: dict[int, float], words: Counter) -> dict[int, float]:
+        out = {}
+        for s in fits or speakers:
+            profile = -sum(k * math.log((said[s][w] + UNSEEN_WORD) / (sums[s] + UNSEEN_WORD * kinds)) for w, k in words.items()) if len(fits) != 1 else 0.0
+            out[s] = LABEL_WEIGHT * fits.get(s, 0.0) + WORD_WEIGHT * profile
+        return out
+
+    cost: dict[int, float] = {}
     back: list[dict[int, int]] = []
-    for at, ((fits, _), said) in enumerate(zip(pieces, words)):
-        emit = {}
-        for s in speakers:
-            emit[s] = (fits.get(s, 1e9) * 4 if fits else 0.0) + (0.0 if len(fits) == 1 else profile(s, said))
-        if at == 0:
-            cost = emit
+    for at, (fits, words) in enumerate(pieces):
+        if not fits and len(cost) == 1:  # one way to go on, whatever the words
+            back.append({s: s for s in cost})
             continue
-        leave = LEAVE_LABELLED if fits else LEAVE_UNLABELLED
-        cheapest = min(speakers, key=lambda s: cost[s])
-        step, new = {}, {}
-        for s in speakers:
-            stay, change = cost[s] + STAY, cost[cheapest] + leave
-            step[s] = s if stay <= change else cheapest
-            new[s] = min(stay, change) + emit[s]
-        back.append(step)
-        cost = new
-    path = [min(speakers, key=lambda s: cost[s])]
+        here = emit(fits, words)
+        if at == 0:
+            cost = here
+        elif fits:
+            step = {t: min(cost, key=lambda s: (cost[s] + move[s, t], s)) for t in here}
+            cost = {t: cost[s] + move[s, t] + here[t] for t, s in step.items()}
+            back.append(step)
+        else:  # no label, no change
+            cost = {s: c + here[s] for s, c in cost.items()}
+            back.append({s: s for s in cost})
+    path = [min(cost, key=lambda s: (cost[s], s))]
     for step in reversed(back):
         path.append(step[path[-1]])
     return path[::-1]
 
 
+def decode(pieces: list[tuple[dict[int, float], str]], speakers: list[int], rounds: int = ROUNDS) -> list[int]:
+    """The likeliest speaker of each piece (costs of the speakers its label may name, text).
+
+    Profiles and transitions are first counted over the pieces whose label fits one speaker, then over the path found with
+    them, until it stays the same or for `rounds` rounds.
+    """
+    if len(speakers) == 1 or not pieces:
+        return [speakers[0]] * len(pieces)
+    counted = [(fits, Counter(w.lower() for w in _WORD.findall(text))) for fits, text in pieces]
+    known: list[int | None] = [next(iter(fits)) if len(fits) == 1 else None for fits, _ in pieces]
+    for _ in range(rounds):
+        said, moves, last = {s: Counter() for s in speakers}, Counter(), None
+        for s, (fits, words) in zip(known, counted):
+            if s is not None:
+                said[s].update(words)
+                if fits and last is not None:
+                    moves[last, s] += 1
+                last = s
+        path = _path(counted, speakers, said, moves)
+        if path == known:
+            break
+        known = path
+    return path
+
+
 def turns(transcript: str, listed: list[tuple[int, str | None]]) -> list[tuple[int, int, float | None, str]]:
     """(turn_no, speaker_no, start in seconds or None, clean text) of a transcript. Nobody listed: no turns."""
     speakers = sorted({n for n, _ in listed if n is not None})
     if not speakers or not transcript:
         return []
-    names = [(n, _forms(name or "")) for n, name in listed if n is not None]
-    numbers = set(speakers)
+    names = Names(listed)
     segments = _segments(transcript)
     if any(t is not None for t, _ in segments):
         last, timed = -1.0, []
@@ -219,7 +248,7 @@ def turns(transcript: str, listed: list[tuple[int, str | None]]) -> list[tuple[i
         segments = sorted(timed, key=lambda x: x[0])
     labelled = []
     for t, text in segments:
-        fits, rest = _take_label(text, names, numbers)
+        fits, rest = _take_label(text, names)
         labelled.append((t, fits, strip_sounds(rest)))
     who = decode([(f, x) for _, f, x in labelled], speakers)
     out: list[tuple[int, int, float | None, str]] = []

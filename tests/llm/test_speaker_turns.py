@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heliodor.llm.speaker_turns import speaker_turns, strip_sounds, turns
+from heliodor.llm.speaker_turns import Names, speaker_turns, strip_sounds, turns
 
 WHO = [(1, "Ada Lovett"), (2, "Bo Hartmann"), (3, "Cy Novak")]
 
@@ -53,3 +53,43 @@ def test_table(spark):
     assert speaker_turns(talks, who.where(F.lit(False))).count() == 0
     long = "0:01 Ada Lovett: " + "word " * 300_000
     assert len(run(long)) == 1
+
+
+FRUIT, SPACE = [f"the {a} tree bears {b} in {c}" for a in ("apple", "pear", "plum") for b in ("blossom", "fruit") for c in ("may", "june")], [f"our {a} reaches {b} after {c}" for a in ("rocket", "probe", "lander") for b in ("mars", "venus") for c in ("launch", "burn")]
+
+
+def _talk(first, second):
+    """Two speakers, two labelled pieces each in turn, so that staying and changing are alike likely."""
+    return "".join(f"{first}: {x}.\n{first}: {y}.\n{second}: {v}.\n{second}: {w}.\n" for x, y, v, w in zip(FRUIT[::2], FRUIT[1::2], SPACE[::2], SPACE[1::2]))
+
+
+def test_labels_that_fit_two_speakers_are_decided_by_profiles():
+    who = [(1, "Ada Lovett"), (2, "Bea Lovett")]
+    text = _talk("Ada Lovett", "Bea Lovett") + "Lovett: so our probe reaches venus after launch.\nLovett: the plum tree bears blossom in may.\n"
+    found = run(text, who)
+    assert [s for _, s, _ in found] == [1, 2] * 6 + [1] and found[-2][2].endswith("after launch.") and found[-1][2] == "the plum tree bears blossom in may."
+
+
+def test_misspelt_labels_near_two_names_are_decided_by_profiles():
+    who = [(1, "Hans Meyerhof"), (2, "Hans Meyerhoff-Kern"), (3, "Hans Meierhof")]
+    text = _talk("Hans Meyerhof", "Hans Meierhof") + "Hans Meerhof: our lander reaches mars after launch.\n"
+    assert Names(who).fits("Hans Meerhof").keys() == {1, 3} and run(text, who)[-1][1] == 3
+
+
+def test_pieces_before_the_first_label_go_together():
+    text = "our probe reaches mars.\nafter the burn we launch the lander.\n" + _talk("Ada Lovett", "Bo Hartmann")
+    assert [s for _, s, _ in run(text)][:3] == [2, 1, 2]
+
+
+def test_rounds_learn_from_decoded_pieces():
+    """Words that only occur in pieces whose speaker the first round has found decide the last pieces."""
+    who = [(1, "Ada Lovett"), (2, "Bea Lovett")]
+    text = _talk("Ada Lovett", "Bea Lovett") + "Lovett: the apple tree bears fruit for cider vinegar juice barrels.\n" * 3 + "Lovett: our rocket reaches mars with module antenna cargo fuel.\n" * 3
+    text += "Lovett: cider vinegar juice barrels.\nLovett: module antenna cargo fuel.\n"
+    found = run(text, who)
+    assert [s for _, s, _ in found][-2:] == [1, 2] and found[-1][2] == "module antenna cargo fuel."
+
+
+def test_no_label_no_change():
+    text = _talk("Ada Lovett", "Bo Hartmann") + "the apple tree bears fruit in june.\nthe pear tree bears blossom in may.\n"
+    assert run(text)[-1][1] == 2 and run(text)[-1][2].endswith("the pear tree bears blossom in may.")
