@@ -18,6 +18,8 @@ QUERIES = {
     "p8_report": packing.p8_report,
     "p9_mixture": mixing.p9_mixture,
     "p9_report": mixing.p9_report,
+    "p9_budget_report": mixing.p9_budget_report,
+    "p9_entropy_report": mixing.p9_entropy_report,
     "p10_found": languages.p10_found,
     "p10_segments": languages.p10_segments,
 }

@@ -71,6 +71,78 @@ def test_weights():
     assert mixing.plan({}, {"a": (1.0, 1)}) == {"a": (0.0, 0.0)}
 
 
+def test_exponents_are_bisected():
+    have, targets = {"a": 800, "b": 150, "c": 50}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 4)}
+    exponent, given = mixing.settle(have, targets, budget=700)
+    assert 0 < exponent < 1 and sum(t for _, t in given.values()) == pytest.approx(700)
+    assert max(given[s][1] / (have[s] * targets[s][1]) for s in have) == pytest.approx(1, rel=1e-6)  # a limit is reached, none exceeded
+    brute = max(a / 10_000 for a in range(10_001) if all(w * 700 <= have[s] * targets[s][1] for s, w in mixing.temperature_weights({s: n / 1000 for s, n in have.items()}, a / 10_000, {s: t for s, (t, _) in targets.items()}).items()))
+    assert exponent == pytest.approx(brute, abs=1e-4)
+    exponent, given = mixing.settle(have, targets, target_entropy=1.0)
+    assert mixing.entropy({s: w for s, (w, _) in given.items()}) == pytest.approx(1.0, abs=1e-6) and exponent < 1
+    assert all(given[s][1] <= have[s] * targets[s][1] * (1 + 1e-9) for s in have)
+
+
+def test_local_search_empties_containers_that_best_fit_leaves():
+    """Containers before and after the search, beside the least number that the sizes allow."""
+    rng, before, after, least = random.Random(8), 0, 0, 0
+    for _ in range(30):
+        sizes = [rng.randint(200, 350) for _ in range(150)]
+        before, after, least = before + len(packing.first_fit(sizes, 1000)), after + len(set(packing.pack(sizes, 1000))), least - (-sum(sizes) // 1000)
+    assert least <= after < before and after - least <= 0.2 * (before - least)
+
+
+@needs_tokenizer
+def test_containers(spark):
+    rows = [(1, "word " * 250), (2, "a b c"), (3, None), (4, ""), (None, "x"), (2, "a b c"), (5, "z" * 100)] + [(10 + i, "some words here " * (i % 7 + 1)) for i in range(60)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "k bigint, t string, container string")
+    out = packing.fill_containers(df, "k", "t", capacity=100, block=5)
+    held = [r.asDict() for r in out.collect()]
+    fills = {}
+    for r in held:
+        if r["container"] is not None:
+            fills[r["container"]] = fills.get(r["container"], 0) + r["tokens"]
+    assert max(fills.values()) <= 100
+    enc = encoding(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    want = sum(len(enc.encode_ordinary(t)) for k, t in rows if t and k is not None)
+    assert sum(r["tokens"] for r in held) == want
+    pieces = sorted((r["piece"], r["first_token"], r["tokens"]) for r in held if r["key"] == 1)
+    assert [p[1] for p in pieces] == [0, 100, 200] and [p[2] for p in pieces][:2] == [100, 100]
+    assert sum(r["key"] == 2 for r in held) == 2 and {r["container"] for r in held if r["key"] in (3, 4)} == {None}
+    assert packing.fill_containers(df.where(F.lit(False)), "k", "t").count() == 0
+
+
+@needs_tokenizer
+def test_token_counts(spark):
+    rows = spark.createDataFrame([(1, "<|endoftext|> ordinary"), (2, None)], "k bigint, t string")
+    assert dict(tuple(r) for r in count_tokens(rows, "k", "t").collect())[2] == 0
+
+
+def test_weights():
+    shares = {"a": 0.8, "b": 0.15, "c": 0.05}
+    assert mixing.temperature_weights(shares, 1.0) == pytest.approx(shares)
+    assert set(mixing.temperature_weights(shares, 0.0).values()) == {1 / 3}
+    e = mixing.exponent_for_entropy(shares, 0.9)
+    assert mixing.entropy(mixing.temperature_weights(shares, e)) == pytest.approx(0.9, abs=1e-6)
+    plan = mixing.plan({"a": 800, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3)})
+    assert plan["a"] == pytest.approx((0.5, 300)) and plan["b"] == pytest.approx((0.5, 300))
+    tight = mixing.plan({"a": 800, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3)}, budget=800)
+    assert tight["b"][1] == pytest.approx(300, rel=1e-6) and tight["a"][1] == pytest.approx(500, rel=1e-6)
+    assert mixing.plan({}, {"a": (1.0, 1)}) == {"a": (0.0, 0.0)}
+
+
+def test_exponents_are_bisected():
+    have, targets = {"a": 800, "b": 150, "c": 50}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 4)}
+    exponent, given = mixing.settle(have, targets, budget=700)
+    assert 0 < exponent < 1 and sum(t for _, t in given.values()) == pytest.approx(700)
+    assert max(given[s][1] / (have[s] * targets[s][1]) for s in have) == pytest.approx(1, rel=1e-6)  # a limit is reached, none exceeded
+    brute = max(a / 10_000 for a in range(10_001) if all(w * 700 <= have[s] * targets[s][1] for s, w in mixing.temperature_weights({s: n / 1000 for s, n in have.items()}, a / 10_000, {s: t for s, (t, _) in targets.items()}).items()))
+    assert exponent == pytest.approx(brute, abs=1e-4)
+    exponent, given = mixing.settle(have, targets, target_entropy=1.0)
+    assert mixing.entropy({s: w for s, (w, _) in given.items()}) == pytest.approx(1.0, abs=1e-6) and exponent < 1
+    assert all(given[s][1] <= have[s] * targets[s][1] * (1 + 1e-9) for s in have)
+
+
 @needs_tokenizer
 def test_mixture(spark):
     rng = random.Random(1)
