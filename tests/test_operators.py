@@ -202,3 +202,16 @@ def test_stream_takes_files_once(spark, tmp_path):
 def test_embedder():
     v = embedding.hashing_embedder(["a b", "", "a b"])
     assert v.shape == (3, 384) and (v[0] == v[2]).all() and not v[1].any() and abs((v[0] ** 2).sum() - 1) < 1e-6
+
+
+def test_join_of_classes_with_hot_keys(spark, monkeypatch):
+    from heliodor.operators import skew
+
+    rows = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 1), ("b", 2), ("c", 3), (None, 4)], "k string, v int")
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    plain = sorted(tuple(r) for r in rows.join(classes.drop("n"), "k").collect())
+    assert skew.hot_size(10) == skew.HOT and skew.hot_size(10**13) == 2 * 10**8
+    for hot in (1, 5, 50_000):
+        monkeypatch.setattr(skew, "HOT", hot)
+        assert sorted(tuple(r) for r in skew.join_classes(rows, classes, ["k"], "n", 1).collect()) == plain
+    assert skew.join_classes(rows.where(F.lit(False)), classes, ["k"], "n", 0).count() == 0
