@@ -28,7 +28,11 @@ FIT_SAMPLE = 20_000
 CELL, BLOCK = 120, 2_000
 #: The most coarse centroids, so that they and the distances to them fit a task whatever the table's size.
 MOST_CELLS = 16_384
-PROBES = 4
+PROBES = 3
+#: Distances within this share of the vectors' squares are compared in double precision.
+_SLACK = 1e-4
+#: Exact distances computed at once, and more than that only for one query.
+_EXACT = 8_192
 #: Bytes of a code, centroids of each sub-quantiser, and exact checks per query and block.
 CODE, BOOK, SHORTLIST = 48, 256, 160
 
@@ -39,6 +43,9 @@ def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     out = np.empty((len(x), n), np.int32)
     for at in range(0, len(x), 512):
         d = cc - 2 * (x[at : at + 512] @ c.T)
+        if n == 1:
+            out[at : at + 512, 0] = d.argmin(1)
+            continue
         part = np.argpartition(d, n - 1, axis=1)[:, :n]
         out[at : at + 512] = np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
     return out
@@ -144,22 +151,21 @@ def nearest_vectors(
             yield pd.DataFrame({"key": b["key"], "v": b["v"], "code": [c.tobytes() for c in code], "near": list(near)})
 
     assigned = materialise(one_each.mapInPandas(assign, "key bigint, v binary, code binary, near array<int>"), "assigned")
-    # blocks of large cells
-    held = assigned.groupBy(F.element_at("near", 1).alias("cell")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    stored = assigned.select(F.element_at("near", 1).alias("cell"), "key", "v", "code").join(held, "cell")
-    stored = stored.select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("part"), "key", "v", "code", F.lit(False).alias("asks"), F.lit(0).alias("lot"))
+    # blocks of large cells, and lots of the queries of popular ones, each of which gets the block; a row a cell, MOST_CELLS at most
     asked = members.where(F.col("key") % ask_every == 0)
     asking = assigned.join(asked.select(F.col("rep").alias("key")).distinct(), "key", "left_semi") if ask_every > 1 else assigned
-    asking = asking.select(F.explode("near").alias("cell"), "key", "v").join(held, "cell")
-    asking = asking.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "key", "v", F.lit(None).cast("binary").alias("code"), F.lit(True).alias("asks"), F.lit(0).alias("lot"))
-    # a popular cell is asked by many: its queries go in lots, and the block is sent to each lot
-    crowd = asking.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(4 * block)).cast("int").alias("lots"))
-    asking = asking.drop("lot").join(crowd, ["cell", "part"]).select("cell", "part", "key", "v", "code", "asks", F.pmod(F.xxhash64("key", F.lit(1)), F.col("lots")).cast("int").alias("lot"))
-    stored = stored.drop("lot").join(crowd, ["cell", "part"]).select("cell", "part", "key", "v", "code", "asks", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    of_cell = assigned.groupBy(F.element_at("near", 1).alias("cell")).agg(F.count("*").alias("n"))
+    askers = asking.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count("*").alias("asks"))
+    held = of_cell.join(askers, "cell", "left").select("cell", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"), F.ceil(F.coalesce("asks", F.lit(0)) / F.lit(4 * block)).cast("int").alias("lots"))
+    held = F.broadcast(materialise(held, "cells"))
+    stored = assigned.select(F.element_at("near", 1).alias("cell"), "key", "v", "code").join(held.where("lots > 0"), "cell")
+    stored = stored.select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "key", "v", "code", F.lit(0).alias("probe"))
+    visits = asking.select(F.posexplode("near").alias("probe", "cell"), "key", "v").join(held, "cell")
+    visits = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("lots")).cast("int").alias("lot"), "key", "v", F.lit(None).cast("binary").alias("code"), (F.col("probe") + 1).alias("probe"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        mine, base = group[asks], group[~asks]
+        probe = group["probe"].to_numpy()
+        mine, base = group[probe > 0], group[probe == 0]
         if not len(base) or not len(mine):
             return pd.DataFrame({"key": [], "rep": [], "d2": []})
         x, ids = _matrix(base["v"], dimension), base["key"].to_numpy()
@@ -167,23 +173,27 @@ def nearest_vectors(
         x, ids = x[order], ids[order]
         codes = np.stack([np.frombuffer(c, np.uint8) for c in base["code"]])[order]
         asking_ids, out = mine["key"].to_numpy(), []
-        q_all = _matrix(mine["v"], dimension)
-        most = min(shortlist, len(ids))
+        q_all, xx = _matrix(mine["v"], dimension), (x * x).sum(1)
+        most, kept = min(shortlist, len(ids)), min(k, len(ids))
         for at in range(0, len(q_all), 64):
             q, q_ids = q_all[at : at + 64], asking_ids[at : at + 64]
-            if len(ids) > most:
-                t = index.value.tables(q, int(group["cell"].iat[0]))
-                rough = np.zeros((len(q), len(ids)), np.float32)
-                for i in range(codes.shape[1]):
-                    rough += t[i][:, codes[:, i]]
-                best = np.argpartition(rough, most - 1, axis=1)[:, :most]
-            else:
-                best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
-            best = np.sort(best, axis=1)
-            diff = x[best].astype(np.float64) - q[:, None, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            d2[ids[best] == q_ids[:, None]] = np.inf
-            kept = min(k, best.shape[1])
+            t = index.value.tables(q, int(group["cell"].iat[0]))
+            rough = np.zeros((len(q), len(ids)), np.float32)
+            for i in range(codes.shape[1]):
+                rough += t[i].take(codes[:, i], axis=1)
+            self_ = ids == q_ids[:, None]
+            rough[self_] = np.inf
+            # the shortlist by single precision, and what is that near to its k best exactly
+            near = np.where(rough <= np.partition(rough, most - 1, axis=1)[:, most - 1 : most], xx - 2 * (q @ x.T), np.inf)
+            near[self_] = np.inf
+            edge = np.partition(near, kept - 1, axis=1)[:, kept - 1] + _SLACK * (1 + (q * q).sum(1))
+            take = min(len(ids), max(kept, int((near <= edge[:, None]).sum(1).max())))
+            best = np.sort(np.argpartition(near, take - 1, axis=1)[:, :take], axis=1)
+            d2, lot = np.empty(best.shape), max(1, _EXACT // take)
+            for b in range(0, len(q), lot):
+                diff = x[best[b : b + lot]].astype(np.float64) - q[b : b + lot, None, :]
+                d2[b : b + lot] = np.einsum("ijk,ijk->ij", diff, diff)
+            d2[np.isinf(np.take_along_axis(near, best, 1))] = np.inf
             top = np.argsort(d2, axis=1, kind="stable")[:, :kept]
             d2 = np.take_along_axis(d2, top, 1)
             found = ids[np.take_along_axis(best, top, 1)]
@@ -191,7 +201,7 @@ def nearest_vectors(
             out.append(pd.DataFrame({"key": np.repeat(q_ids, kept)[good.ravel()], "rep": found[good], "d2": d2[good]}))
         return pd.concat(out)
 
-    near = stored.unionByName(asking).groupBy("cell", "part", "lot").applyInPandas(search, "key bigint, rep bigint, d2 double")
+    near = stored.unionByName(visits).groupBy("cell", "part", "lot").applyInPandas(search, "key bigint, rep bigint, d2 double")
     # the k nearest classes of each class, over all its cells; a class is among them once
     best = Window.partitionBy("key").orderBy("d2", "rep")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("key", "rep", "d2")
