@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.llm.words import WORD, WordHashes, shingle_hashes
+from heliodor.operators.skew import HOT, join_classes
 from heliodor.session import materialise, spread
 from heliodor.sources.tables import read
 
 #: Bits of the parity bitmap.
 SKETCH_BITS = 512
 _BLOCK = 4096
+#: Keys of a band that one task pairs with each other.
+BAND_BLOCK = 2_000
 
 
 def _signer(size: int, least_words: int, bands: int, rows: int, seed: int):
@@ -140,6 +143,22 @@ class NearDuplicates:
         return inside.unionAll(stars).unionAll(across)
 
 
+def _proposed(banded: DataFrame, total: int, block: int = BAND_BLOCK) -> DataFrame:
+    """(a, b), a < b: the pairs of keys that share a band of `banded` (key, band), repeats kept.
+
+    A band with more keys than `block` (or the bound of hot keys, if greater) is cut into blocks by the hash of the key, and each pair of
+    blocks is a task's share of its own.
+    """
+    most = max(block, total // HOT)
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowded = F.broadcast(materialise(crowded.select("band", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "crowded"))  # HOT rows at most, as each has total / HOT keys
+    held = banded.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
+    x = held.select("band", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("key").alias("x"))
+    y = held.select("band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"))
+    both = x.join(y, ["band", "i", "j"]).where("i < j AND x != y OR x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 40, rows: int = 4, margin: float | None = None, seed: int = 7
 ) -> NearDuplicates:
@@ -153,13 +172,14 @@ def near_duplicates(
     if margin is None:
         margin = 5 * math.sqrt(threshold * (1 - threshold) / samples + SKETCH_BITS / (16 * samples**2) * (math.exp(4 * samples * (1 - threshold) / SKETCH_BITS) - 1) / 2)
     signed = materialise(signatures(df, key, text, size, least_words, bands, rows, seed), "signatures")
-    firsts = signed.groupBy("same", "equal").agg(F.min("key").alias("first"))
-    reps = firsts.groupBy("same").agg(F.min("first").alias("rep"))
-    members = materialise(signed.select("key", "same", "equal").distinct().join(firsts.join(reps, "same"), ["same", "equal"]).select("key", "rep", "first"), "members")
+    firsts = signed.groupBy("same", "equal").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    reps = firsts.groupBy("same").agg(F.min("first").alias("rep"), F.count("*").alias("m"))
+    total = signed.count()
+    named = materialise(join_classes(firsts, reps, ["same"], "m", total), "classes")
+    members = materialise(join_classes(signed.select("key", "same", "equal").distinct(), named, ["same", "equal"], "n", total).select("key", "rep", "first"), "members")
     one_each = signed.join(members.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"])
 
-    banded = one_each.select("key", F.explode("bands").alias("band"))
-    proposed = banded.alias("x").join(banded.alias("y"), F.col("x.band") == F.col("y.band")).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    proposed = _proposed(one_each.select("key", F.explode("bands").alias("band")), total * bands).distinct()
     sketches = signed.select("key", "sketch")
     judged = (
         proposed.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a")

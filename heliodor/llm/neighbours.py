@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliodor.operators.skew import join_classes
 from heliodor.session import materialise
 from heliodor.sources.tables import read
 
@@ -127,8 +128,8 @@ def nearest_vectors(
     packed = usable(df, key, vector, dimension).mapInPandas(pack, "key bigint, v binary")
     packed = materialise(packed.withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))), "vectors")
     # Equal vectors are one class, told by 128 bits of hash and combined before the shuffle; the vectors themselves travel once.
-    classes = materialise(packed.groupBy("same").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies")), "classes")
-    members = materialise(packed.select("same", "key").distinct().join(classes.select("same", "rep"), "same").select("key", "rep"), "members")
+    classes = materialise(packed.groupBy("same").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies"), F.count("*").alias("n")), "classes")
+    members = materialise(join_classes(packed.select("same", "key").distinct(), classes.select("same", "rep", "n"), ["same"], "n", packed.count()).select("key", "rep"), "members")
     one_each = packed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "v")
     total = one_each.count()
     if total == 0:

@@ -74,3 +74,14 @@ def test_different_texts_of_the_same_words_are_all_paired(spark):
     star = {(1, i) for i in range(2, 35)}
     assert sorted(map(tuple, found.pairs().collect())) == sorted(star | {(1, 35), (1, 36), (35, 36), (1, 37), (35, 37), (36, 37)})
     assert found.pairs(40).count() == 37 * 36 // 2
+
+
+def test_crowded_bands_give_the_same_pairs(spark):
+    from heliodor.llm.near_duplicates import _proposed
+
+    rows = [(k, b) for b in (1, 2) for k in range(30)] + [(k, 3) for k in range(25, 33)] + [(40, 4)]
+    want = sorted({(a, b) for a, x in rows for b, y in rows if x == y and a < b})
+    df = spark.createDataFrame(rows, "key bigint, band bigint")
+    for block in (2, 7, 100):
+        got = [tuple(r) for r in _proposed(df, len(rows), block).collect()]
+        assert sorted(set(got)) == want and len(got) == len([1 for a, x in rows for b, y in rows if x == y and a < b])
