@@ -165,7 +165,13 @@ def json_title(payload: Column) -> Column:
 
 
 def sample_download(payload: Column, base: str) -> Column:
-    """The address of a page's active sample download, else null. A full address stays as it is."""
-    identifier = F.get_json_object(payload, "$.sampleCodeDownload.action.identifier")
-    active = F.get_json_object(payload, "$.sampleCodeDownload.action.isActive") == "true"
-    return F.when(active & identifier.isNotNull(), F.when(identifier.rlike("^https?://"), identifier).otherwise(F.concat(F.lit(base), identifier)))
+    """The address of a page's active sample download, else null. A full address stays as it is.
+
+    Active is any value that counts as true: not false, null, zero or an empty text. The identifier has to be a text.
+    """
+    action = F.from_json(F.get_json_object(payload, "$.sampleCodeDownload.action"), "isActive variant, identifier variant")
+    kind, told = F.schema_of_variant(action["isActive"]), F.try_variant_get(action["isActive"], "$", "string")
+    number = F.try_variant_get(action["isActive"], "$", "double")
+    active = F.when(kind == "VOID", False).when(kind == "BOOLEAN", told == "true").when(kind == "STRING", told != "").when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), number != 0).otherwise(kind.isNotNull())
+    identifier = F.when(F.schema_of_variant(action["identifier"]) == "STRING", F.try_variant_get(action["identifier"], "$", "string"))
+    return F.when(F.coalesce(active, F.lit(False)) & identifier.isNotNull(), F.when(identifier.rlike("^https?://"), identifier).otherwise(F.concat(F.lit(base), identifier)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +41,17 @@ def discovered(edge: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select(url_id(F.col("dst_url")).alias("id"), F.lit("doc").alias("type"), F.col("dst_url").alias("url"), F.lit("doc-graph").alias("source"), F.lit("discovered").alias("status"), "title")
 
 
-def closure(edge: DataFrame, start: DataFrame, most_hops: int = 50) -> DataFrame:
-    """(url, hops) of all pages that `start` (url) reaches, hop by hop. Each hop is written, so the plan doesn't grow."""
+def closure(edge: DataFrame, start: DataFrame) -> DataFrame:
+    """(url, hops) of all pages that `start` (url) reaches, hop by hop until none is new. Each hop is written, so lineage doesn't grow."""
     links = materialise(edge.select("src_url", "dst_url").distinct(), "edges")
     seen = materialise(start.select("url").distinct().withColumn("hops", F.lit(0)), "hop")
     last = seen
-    for hop in range(1, most_hops + 1):
+    for hop in count(1):
         step = links.join(last.select(F.col("url").alias("src_url")), "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct()
         last = materialise(step.join(seen.select("url"), "url", "left_anti").withColumn("hops", F.lit(hop)), "hop")
         if last.isEmpty():
             break
         seen = seen.unionAll(last)
+        if hop % 16 == 0:  # so that the plan doesn't grow either
+            seen = materialise(seen, "hops")
     return seen

@@ -1,12 +1,13 @@
 """Problem 7: take exactly the records whose current version has no valid output yet.
 
 The target is the state. Each output row carries the key and the version of the record it was made from, so what is left to
-do is an anti-join of the source against the target. A new target version is staged under its own name and becomes
+do is an anti-join of the source against the target. Each publication adds a part under a name of its own and becomes
 visible through one atomic rename of a pointer file; a run that dies before the rename leaves the old version in force.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,8 +57,17 @@ def pending(source: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
     return source.where(F.col(key).isNotNull()).join(s, at, "left_anti")
 
 
+#: Parts of a target after which, or rows of the later parts as a share of the first's from which, they are merged.
+MOST_PARTS, MERGE_SHARE = 12, 0.5
+
+
 class Target:
-    """A target table in `root`: versions in folders, the current one named by the file CURRENT."""
+    """A target table in `root`, as parts in folders that the file CURRENT lists in order.
+
+    A part holds the rows of a publication, and the ids whose earlier rows they replace or that are gone. A publication writes its own
+    rows alone; once the later parts together have grown large beside the first, all are merged into one. What no version
+    since the last but one needs is removed, so a reader of the version before isn't disturbed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,35 +75,82 @@ class Target:
         self._context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), spark._jsc.hadoopConfiguration())
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def _listed(self) -> dict:
+        """What CURRENT says: its version, the parts with their numbers of rows, and the parts of the version before."""
         pointer = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+            return {"version": None, "parts": [], "before": []}
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+
+    def current(self) -> str | None:
+        """The name of the version in force."""
+        return self._listed()["version"]
 
     def read(self) -> DataFrame | None:
-        name = self.current()
-        return None if name is None else self.spark.read.parquet(f"{self.root}/{name}")
+        """The rows in force; None before the first publication."""
+        listed = self._listed()
+        return self._merged([p["name"] for p in listed["parts"]]) if listed["version"] else None
+
+    def _merged(self, parts: list[str]) -> DataFrame:
+        rows, replaced = None, None
+        for no, name in enumerate(parts):
+            part = self.spark.read.parquet(f"{self.root}/{name}/rows").withColumn("__part", F.lit(no))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+            if no:
+                ids = self.spark.read.parquet(f"{self.root}/{name}/ids").select(F.col("id").alias("__id"), F.lit(no).alias("__since"))
+                replaced = ids if replaced is None else replaced.unionByName(ids)
+        if replaced is not None:
+            last = replaced.groupBy("__id").agg(F.max("__since").alias("__since"))  # one row an id, so a hot id can't grow in the join
+            rows = rows.join(last, F.col("id") == F.col("__id"), "left").where("__since IS NULL OR __part >= __since").drop("__id", "__since")
+        return rows.drop("__part")
 
     def state(self) -> DataFrame | None:
         rows = self.read()
         return None if rows is None else rows.select("id", "etag", "content_hash")
 
-    def publish(self, outputs: DataFrame, gone: DataFrame | None = None) -> str:
-        """Replace the rows of the keys in `outputs`, drop those of the ids in `gone`, keep the rest, and switch to the new version in one step."""
-        old, name = self.read(), f"v-{uuid.uuid4().hex}"
-        replaced = outputs.select("id") if gone is None else outputs.select("id").unionAll(gone.select("id"))
-        whole = outputs if old is None else old.join(replaced.distinct(), "id", "left_anti").unionByName(outputs, allowMissingColumns=True)
-        whole.write.parquet(f"{self.root}/{name}")
-        staged = f"{self.root}/.CURRENT-{name}"
+    def publish(self, outputs: DataFrame, gone: DataFrame | None = None) -> int:
+        """Replace the rows of the keys in `outputs`, drop those of the ids in `gone`, keep the rest, and switch in one step.
+
+        The number of rows in `outputs`. Nothing is switched where there is nothing to publish.
+        """
+        listed, name = self._listed(), f"p-{uuid.uuid4().hex}"
+        outputs.write.parquet(f"{self.root}/{name}/rows")
+        written = self.spark.read.parquet(f"{self.root}/{name}/rows")
+        ids = written.select("id") if gone is None else written.select("id").unionAll(gone.select("id"))
+        ids.where("id IS NOT NULL").distinct().write.parquet(f"{self.root}/{name}/ids")
+        count = written.count()  # from the files' footers
+        if not count and self.spark.read.parquet(f"{self.root}/{name}/ids").isEmpty():
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            return 0
+        parts = [*listed["parts"], {"name": name, "rows": count}]
+        self._switch(parts, listed)
+        if len(parts) > MOST_PARTS or sum(p["rows"] for p in parts[1:]) > MERGE_SHARE * max(parts[0]["rows"], 1):
+            self.merge()
+        return count
+
+    def merge(self) -> None:
+        """Write the rows in force as one part, and remove what no version since the last but one needs."""
+        listed = self._listed()
+        if len(listed["parts"]) < 2:
+            return
+        name = f"p-{uuid.uuid4().hex}"
+        self._merged([p["name"] for p in listed["parts"]]).write.parquet(f"{self.root}/{name}/rows")
+        self._switch([{"name": name, "rows": self.spark.read.parquet(f"{self.root}/{name}/rows").count()}], listed)
+
+    def _switch(self, parts: list[dict], old: dict) -> None:
+        version, before = f"v-{uuid.uuid4().hex}", [p["name"] for p in old["parts"]]
+        staged = f"{self.root}/.CURRENT-{version}"
         stream = self._fs.create(self._path(staged))
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(json.dumps({"version": version, "parts": parts, "before": before}).encode()))
         stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         overwrite = self.spark.sparkContext._gateway.new_array(options, 1)
         overwrite[0] = options.OVERWRITE
         self._context.rename(self._path(staged), self._path(f"{self.root}/CURRENT"), overwrite)
-        return name
+        needed = {p["name"] for p in parts} | set(before)
+        for name in old["before"]:
+            if name not in needed:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

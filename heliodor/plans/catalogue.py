@@ -226,7 +226,7 @@ def _(spark, root):
 
 
 @query("transcript_format", rf"""WITH w AS (SELECT DISTINCT id, transcript, regexp_extract(transcript, '\d+:\d+') AS mark FROM wwdc_content)
-  SELECT id, CASE WHEN mark <> '' THEN {sql_trim(r"regexp_replace(regexp_replace(regexp_replace(substr(transcript, instr(transcript, mark)), '(\d+:\d+)([A-Z])', chr(10) || chr(10) || '\1 \2', 'g'), '(\d+:\d+)([a-z])', chr(10) || chr(10) || '\1 \2', 'g'), '^\n+', '')")}
+  SELECT id, CASE WHEN mark <> '' THEN {sql_trim(r"regexp_replace(substr(transcript, instr(transcript, mark)), '(\d+:\d+)([A-Za-z])', chr(10) || chr(10) || '\1 \2', 'g')")}
     ELSE {sql_trim("transcript")} END AS formatted FROM w""")
 def _(spark, root):
     return read(spark, root, "wwdc_content").select("id", "transcript").distinct().select("id", text.format_transcript(F.col("transcript")).alias("formatted"))
@@ -380,7 +380,7 @@ def _(spark, root):
 
 
 @query("graph_closure", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src_url AS url, 0 AS hops FROM e WHERE NOT contains(substr(src_url, {len(SITE) + len("/documentation/") + 1}), '/')
-  UNION SELECT e.dst_url, r.hops + 1 FROM r JOIN e ON e.src_url = r.url WHERE r.hops < 50) SELECT url, min(hops) AS hops FROM r GROUP BY url""")
+  UNION SELECT e.dst_url, r.hops + 1 FROM r JOIN e ON e.src_url = r.url) SELECT url, min(hops) AS hops FROM r GROUP BY url""")
 def _(spark, root):
     edge = _site_edges(spark, root)
     start = edge.where(~F.substr(F.col("src_url"), F.lit(len(SITE) + len("/documentation/") + 1)).contains("/")).select(F.col("src_url").alias("url"))

@@ -1,7 +1,7 @@
 """The batch pipeline from raw payloads to an index, one declarative job a stage, resumable between stages.
 
-Tables live under a root: raw (id, payload, etag, content_hash, fetched_at), manifest, content, vectors. Each is a versioned target,
-so a run that fails leaves the last published state, and the next run takes what is still pending.
+Tables live under a root: manifest, raw (fetched payloads), texts, content, vectors. Each is a versioned target, so a run that
+fails leaves the last published state, and the next run takes what is still pending. A record that failed is pending again.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from heliodor.functions import archives, chunking, docjson, text
 from heliodor.operators import embedding, manifest
 from heliodor.operators.incremental import Target, pending
 from heliodor.session import materialise
+from heliodor.sources import raw as payloads
 
-STAGES = ("discover", "normalize", "index", "embed")
+STAGES = ("discover", "fetch", "normalize", "index", "embed")
+#: Fixed value: where relative sample downloads lie.
+DOWNLOADS = f"{text.SITE}/assets/"
 
 
 def gates(only: dict[str, bool]) -> tuple[str, ...]:
@@ -73,31 +76,78 @@ def index(rows: DataFrame) -> DataFrame:
     return body.select(rowid.alias("content_rowid"), "id", "chunk_index", "title", "body", "type", F.lit(None).cast("string").alias("platforms"), "url", F.concat_ws("/", F.lit("normalized"), "id").alias("local_path"))
 
 
-def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] | None = None, embedder: embedding.Embedder = embedding.hashing_embedder) -> dict[str, int]:
-    """Run the stages over `raw` (id, type, url, source, title, payload, etag, content_hash); rows taken by each stage.
+def _stored(rows: DataFrame) -> DataFrame:
+    """Manifest rows with the columns of the fetch stage, null where a publication had none."""
+    kinds = {"etag": "string", "content_hash": "string", "fetched_at": "bigint"}
+    return rows.select(*rows.columns, *(F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in rows.columns))
 
-    Only records whose version isn't in the targets are taken, so running twice changes nothing.
+
+def fetch(spark: SparkSession, root: str, store: DataFrame, refresh_all: bool = False, now_ms: int = 0) -> int:
+    """Look up the payloads of discovered and failed records in `store` (address, payload, etag); the number that were fetched.
+
+    Records fetched more than a year before `now_ms`, or with `refresh_all` all records, are discovered again first; of an unchanged one
+    the payload stays. A sample that a fetched page offers for download becomes a record of its own and is fetched in the same run.
+    """
+    listed, kept, fetched = Target(spark, f"{root}/manifest"), Target(spark, f"{root}/raw"), 0
+    for downloads in (False, True):
+        rows = listed.read()
+        if rows is None:
+            return 0
+        rows = _stored(rows)
+        if not downloads:
+            rows = manifest.reset_all(rows) if refresh_all else manifest.refresh(rows, now_ms)
+        todo = manifest.fetchable(rows.withColumn("last_modified", F.lit(None).cast("string"))).drop("priority", "last_modified")
+        if downloads:
+            todo = todo.where("source = 'sample-download' AND status = 'discovered' AND fetched_at IS NULL")
+        got = materialise(payloads.fetch(todo.select("id", "type", "url", "etag"), store), "fetched")
+        new = todo.drop("etag", "content_hash", "fetched_at", "status").join(got.where("outcome = 'fetched'").select("id", "payload", "etag", "content_hash"), "id")
+        fetched += kept.publish(new.withColumn("fetched_at", F.lit(now_ms).cast("bigint")))
+        told = todo.drop("etag", "content_hash", "fetched_at", "status").join(got.select("id", "outcome", "etag", F.col("content_hash").alias("new_hash")), "id").join(rows.select("id", F.col("content_hash").alias("old_hash")), "id")
+        status = F.when(F.col("outcome") == "failed", "failed").otherwise("fetched")
+        told = told.select(*todo.drop("etag", "content_hash", "fetched_at", "status").columns, status.alias("status"), "etag", F.coalesce("new_hash", "old_hash").alias("content_hash"), F.when(F.col("outcome") != "failed", F.lit(now_ms)).cast("bigint").alias("fetched_at"))
+        listed.publish(materialise(told, "manifest"))
+        if not downloads and kept.current():
+            url = docjson.sample_download(F.col("payload").cast("string"), DOWNLOADS)
+            found = kept.read().where("type = 'doc'").select(url.alias("url")).where("url IS NOT NULL").distinct()
+            zips = found.select(text.url_id(F.col("url")).alias("id"), F.lit("sample").alias("type"), "url", F.lit("sample-download").alias("source"), text.archive_title(F.regexp_extract("url", "([^/]*)$", 1)).alias("title"), F.lit("discovered").alias("status"))
+            listed.publish(materialise(_unlisted(listed, zips), "downloads"))
+    return fetched
+
+
+def sync(
+    spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] | None = None, embedder: embedding.Embedder = embedding.hashing_embedder,
+    store: DataFrame | None = None, refresh_all: bool = False, now_ms: int = 0,
+) -> dict[str, int]:
+    """Run the stages over `raw` (id, type, url, source, title, and, without a `store`, payload, etag, content_hash); rows taken by each.
+
+    With a `store` the payloads come from the fetch stage. Only records whose version isn't in the targets are taken, so running
+    twice changes nothing but for another try of what failed.
     """
     stages, taken = gates(only or {}), {}
-    known = raw.select("id", "type", "url", "source", "title", "payload", "etag", "content_hash")
     listed = Target(spark, f"{root}/manifest")
     if "discover" in stages:
-        found = known.select("id", "type", "url", "source", "title").withColumn("status", F.lit("discovered"))
-        taken["discover"] = _publish(listed, _unlisted(listed, found))
+        found = raw.select("id", "type", "url", "source", "title").withColumn("status", F.lit("discovered"))
+        taken["discover"] = listed.publish(_unlisted(listed, found))
+    if "fetch" in stages and store is not None:
+        taken["fetch"] = fetch(spark, root, store, refresh_all, now_ms)
+    columns = ["id", "type", "url", "source", "title", "payload", "etag", "content_hash"]
+    stored = Target(spark, f"{root}/raw").read() if store is not None else None
+    known = raw.select(*columns) if store is None else stored.select(*columns) if stored is not None else None
     texts = Target(spark, f"{root}/texts")
-    if "normalize" in stages:
-        state = texts.state()
-        todo = known if state is None else pending(known, state)
+    if "normalize" in stages and known is not None:
+        # a record that failed has no valid output, so it is taken again
+        old = texts.read()
+        todo = known if old is None else pending(known, old.where("error IS NULL"))
         summaries, files = unpack(todo)
         done = normalize(todo).unionAll(summaries).join(todo.select("id", "type", "url", "title", "etag", "content_hash"), "id")
         # a file's version is its content, so only the changed files of a new archive are indexed and embedded again
         files = files.join(known.select("id"), "id", "left_anti").withColumns({"type": F.lit("code_file"), "content_hash": text.content_hash(F.col("text"))})
-        gone, old = None, texts.read()
+        gone = None
         if old is not None and "archive" in old.columns:
             gone = old.join(summaries.where("error IS NULL").select(F.col("id").alias("archive")), "archive", "left_semi").select("id").join(files.select("id"), "id", "left_anti")
         code = files.select("id", "type", "url", F.lit("sample-extract").alias("source"), "title", F.lit("normalized").alias("status"))
-        _publish(listed, _unlisted(listed, code), gone)
-        taken["normalize"] = _publish(texts, done.unionByName(files, allowMissingColumns=True), gone)
+        listed.publish(_unlisted(listed, code), gone)
+        taken["normalize"] = texts.publish(done.unionByName(files, allowMissingColumns=True), gone)
     contents = Target(spark, f"{root}/content")
     if "index" in stages and texts.current():
         ready, state = texts.read().where("error IS NULL"), contents.state()
@@ -105,7 +155,7 @@ def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] |
         rows = index(todo).join(todo.select("id", "etag", "content_hash"), "id")
         old = contents.read()
         gone = old.select("id").distinct().join(texts.read().select("id"), "id", "left_anti") if old is not None else None
-        taken["index"] = _publish(contents, rows, gone)
+        taken["index"] = contents.publish(rows, gone)
     vectors = Target(spark, f"{root}/vectors")
     if "embed" in stages and contents.current():
         content, old = contents.read(), vectors.read()
@@ -114,7 +164,7 @@ def sync(spark: SparkSession, root: str, raw: DataFrame, only: dict[str, bool] |
         todo = pending(content, vectors.state().distinct()) if versioned else content
         rows = embedding.embed(todo, content.select("content_rowid").where(F.lit(False)), embedder, carry=("id", "etag", "content_hash"))
         gone = old.select("id").distinct().join(content.select("id"), "id", "left_anti") if old is not None else None
-        taken["embed"] = _publish(vectors, rows, gone)
+        taken["embed"] = vectors.publish(rows, gone)
     return taken
 
 
@@ -122,16 +172,3 @@ def _unlisted(target: Target, found: DataFrame) -> DataFrame:
     """The resources of `found` that the manifest doesn't list yet."""
     old = target.read()
     return manifest.insert_ignore(old.select(*found.columns), found).join(old.select("id"), "id", "left_anti") if old is not None else manifest.merge_discoveries(found)
-
-
-def _publish(target: Target, rows: DataFrame, gone: DataFrame | None = None) -> int:
-    """Publish rows, and drop those of the ids in `gone`, unless there are none; the number of new rows."""
-    if rows.isEmpty() and (gone is None or gone.isEmpty()):
-        return 0
-    before = target.current()
-    name = target.publish(rows, gone)
-    new = target.spark.read.parquet(f"{target.root}/{name}")
-    if before is None:
-        return new.count()
-    old = target.spark.read.parquet(f"{target.root}/{before}")
-    return new.exceptAll(old.select(*(F.col(c) if c in old.columns else F.lit(None).alias(c) for c in new.columns))).count()

@@ -14,10 +14,10 @@ def _rows(found: DataFrame, type_: str, source: str, title: Column) -> DataFrame
     return found.select(url_id(F.col("url")).alias("id"), F.lit(type_).alias("type"), "url", F.lit(source).alias("source"), F.lit("discovered").alias("status"), title.alias("title")).distinct()
 
 
-def session_index(pages: DataFrame, site: str = SITE, prefix: str = "/videos/play/", name: str = "Session") -> DataFrame:
-    """Talks linked from listing pages (html); the title is a stand-in until the talk is fetched."""
+def session_index(pages: DataFrame, site: str = SITE, prefix: str = "/videos/play/", name: str = "WWDC") -> DataFrame:
+    """Talks linked from listing pages (html); the title, of year and number, is a stand-in until the talk is fetched."""
     found = pages.select(F.explode(session_links(F.col("html"), prefix)).alias("path")).select(F.concat(F.lit(site), "path").alias("url"))
-    return _rows(found, "talk", "wwdc", F.concat(F.lit(f"{name} "), F.regexp_extract("url", r"/(\d+)/?$", 1)))
+    return _rows(found, "talk", "wwdc", F.concat(F.lit(name), F.regexp_extract("url", r"(\d+)/\d+/?$", 1), F.lit(" Session "), F.regexp_extract("url", r"/(\d+)/?$", 1)))
 
 
 def hub(pages: DataFrame, site: str = SITE) -> DataFrame:

@@ -124,3 +124,18 @@ def test_archives(spark):
     assert [r["path"] for r in files.collect()] == ["A/b.swift"]
     md = archives.summary(files.withColumn("t", F.lit("T")), ["url"], "t", "url").first()["markdown"]
     assert md == "# T\n\nURL: u\n\n## Source Files (1)\n\n### A/b.swift\n\n```swift\nx\n```\n\n"
+
+
+def test_active_downloads(spark):
+    from heliodor.functions.docjson import sample_download
+
+    def page(active, identifier='"a/S.zip"'):
+        return '{"sampleCodeDownload": {"action": {"isActive": %s, "identifier": %s}}}' % (active, identifier)
+
+    good = [page(a) for a in ("true", "1", '"yes"', "-0.5", "{}", "[]", '"false"')]
+    bad = [page(a) for a in ("false", "0", '""', "null", "0.0")] + [page("true", i) for i in ("7", "null", "[]", "true")] + ['{"sampleCodeDownload": null}', "{}", "no json", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad)], "n int, p string")
+    got = [r["u"] for r in rows.select("n", sample_download(F.col("p"), "http://b/").alias("u")).orderBy("n").collect()]
+    assert got == ["http://b/a/S.zip"] * len(good) + [None] * len(bad)
+    full = spark.createDataFrame([(page("true", '"https://c/S.zip"'),)], "p string")
+    assert full.select(sample_download(F.col("p"), "http://b/")).first()[0] == "https://c/S.zip"

@@ -8,7 +8,7 @@ from heliodor.sources import discovery, raw
 def test_discovery(spark):
     pages = spark.createDataFrame(PAGES, "page string, html string")
     talks = discovery.session_index(pages)
-    assert sorted(r["title"] for r in talks.collect()) == ["Session 101", "Session 7"]
+    assert sorted(r["title"] for r in talks.collect()) == ["WWDC2023 Session 7", "WWDC2024 Session 101"]
     assert sorted((r["url"], r["title"]) for r in discovery.hub(pages).collect())[0] == (f"{SITE}/documentation/net/session#overview", "Session#Overview")
     payloads = spark.createDataFrame([(JSON_PAGE,), ("broken",), (None,)], "payload string")
     none = spark.createDataFrame([], "id string, type string, url string, source string, status string, title string")

@@ -15,3 +15,8 @@ def test_latest_version_of_a_batch_is_kept(spark, tmp_path):
     ingest(spark, folder, f, f"file://{tmp_path}/t", str(tmp_path / "cp")).awaitTermination()
     got = {r["id"]: r["etag"] for r in target.read().collect()}
     assert got["0"] == "d" and got["1"] == "c" and len(got) == 20
+    # an older version that arrives late doesn't replace a newer one
+    spark.createDataFrame([("0", "b", "hb", 2), ("1", "e", "he", 5)], f).coalesce(1).write.mode("append").parquet(folder)
+    ingest(spark, folder, f, f"file://{tmp_path}/t", str(tmp_path / "cp")).awaitTermination()
+    got = {r["id"]: r["etag"] for r in target.read().collect()}
+    assert got["0"] == "d" and got["1"] == "e" and len(got) == 20

@@ -77,3 +77,32 @@ def test_transcripts_of_old_pages(spark):
     rows = spark.createDataFrame([(k, "talk", "u", "T", v) for k, v in pages.items()], "id string, type string, url string, title string, payload string")
     head = "# T\n\nURL: u\n\n"
     assert {r["id"]: r["text"].removeprefix(head) for r in sync.normalize(rows).collect()} == {"json": "## Transcript\n\none two\n", "div": "## Transcript\n\nsaid\n", "broken": "## Transcript\n\nsaid\n", "page": "## Content\n\npage\n", "empty": ""}
+
+
+def test_fetching_from_a_store(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    records = spark.createDataFrame([("d", "doc", f"{text.SITE}/documentation/ui/view", "wwdc", "View"), ("t", "talk", "u/talk", "wwdc", "Talk"), ("m", "doc", "u/missing", "wwdc", "Gone")], "id string, type string, url string, source string, title string")
+    page = b'{"title": "View", "abstract": [{"type": "text", "text": "Words."}], "sampleCodeDownload": {"action": {"isActive": 1, "identifier": "x/MySample.zip"}}}'
+    store = [(f"{text.SITE}/tutorials/data/documentation/ui/view.json", bytearray(page), "1"), ("u/talk", bytearray(b'{"title": "K", "transcript": "hello"}'), "1"), (f"{sync.DOWNLOADS}x/MySample.zip", archive({"A/b.swift": "let b"}), "1")]
+    f = "address string, payload binary, etag string"
+    first = sync.sync(spark, root, records, store=spark.createDataFrame(store, f), now_ms=1)
+    assert first == {"discover": 3, "fetch": 3, "normalize": 4, "index": 4, "embed": 4}
+    held = {r["url"]: (r["source"], r["status"], r["title"]) for r in read(spark, tmp_path, "manifest").collect()}
+    assert held[f"{sync.DOWNLOADS}x/MySample.zip"] == ("sample-download", "fetched", "My Sample") and held["u/missing"][1] == "failed"
+    # the failed one comes again, and is found now; nothing else is fetched
+    store.append(("u/missing", bytearray(b"<p>here</p>"), "1"))
+    second = sync.sync(spark, root, records, store=spark.createDataFrame(store, f), now_ms=2)
+    assert second == {"discover": 0, "fetch": 1, "normalize": 1, "index": 1, "embed": 1}
+    # all again: validators hold, so no payload travels; then one has changed
+    assert sync.sync(spark, root, records, store=spark.createDataFrame(store, f), refresh_all=True, now_ms=3)["fetch"] == 0
+    store[1] = ("u/talk", bytearray(b'{"title": "K", "transcript": "hello again"}'), "2")
+    third = sync.sync(spark, root, records, store=spark.createDataFrame(store, f), refresh_all=True, now_ms=4)
+    assert (third["fetch"], third["normalize"], third["embed"]) == (1, 1, 1)
+
+
+def test_failed_records_are_taken_again(spark, tmp_path):
+    root, empty_then_full = f"file://{tmp_path}/s", [("1", "doc", "u1", "x", "T", None, "e", "h")]
+    sync.sync(spark, root, spark.createDataFrame(empty_then_full, RAW))
+    empty_then_full[0] = ("1", "doc", "u1", "x", "T", "<p>now</p>", "e", "h")
+    again = sync.sync(spark, root, spark.createDataFrame(empty_then_full, RAW))
+    assert (again["normalize"], again["index"], again["embed"]) == (1, 1, 1)
