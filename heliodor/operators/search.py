@@ -1,7 +1,7 @@
 """Keyword search with BM25, vector search, and their fusion.
 
-The inverted index is an ordinary table of token occurrences. A query filters it by term before anything is shuffled, so only
-the matching occurrences travel; document lengths come from a map-only pass.
+The inverted index is an ordinary table of token occurrences. Stored, it is laid out in the order of its terms, so that a query reads the
+parts whose range holds its terms. It is filtered by term before anything is shuffled, so only the matching occurrences travel.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliodor.session import materialise, spread
+from heliodor.sources.tables import read
 
 COLUMNS = ("title", "body", "type", "platforms")
 K1, B = 1.2, 0.75
@@ -93,6 +94,38 @@ def lengths(content: DataFrame) -> DataFrame:
     return content.select(F.col("content_rowid").alias("rowid"), reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in COLUMNS]).alias("dl"))
 
 
+class Stored(NamedTuple):
+    """A stored index: `occurrences` in the order of terms, and `lengths`."""
+
+    occurrences: DataFrame
+    lengths: DataFrame
+
+
+def store_index(content: DataFrame) -> Stored:
+    """Write the index of `content` once. Ranges of (term, row) are the files, so a frequent term is spread over several."""
+    texts = spread(content.select("content_rowid", *COLUMNS), "content_rowid")
+    ordered = occurrences(texts).repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid", "col", "pos")
+    return Stored(materialise(ordered, "index"), materialise(lengths(texts), "lengths"))
+
+
+_stored: dict[tuple, Stored] = {}
+
+
+def index_of(spark: SparkSession, root: str) -> Stored:
+    """The stored index of the table `content` under `root`, built when it is first asked for in this application and whenever the
+    table's files have changed since."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/content.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, seen = system.listFiles(path, True), []
+    while files.hasNext():
+        one = files.next()
+        seen.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(sorted(seen)))
+    if key not in _stored:
+        _stored[key] = store_index(read(spark, root, "content"))
+    return _stored[key]
+
+
 def postings(index: DataFrame) -> DataFrame:
     """(term, rowid, tf)."""
     return index.groupBy("term", "rowid").agg(F.count("*").alias("tf"))
@@ -189,7 +222,7 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int = 20) -> DataFrame:
 
 def hybrid_search(
     content: DataFrame, vectors: DataFrame, mapping: DataFrame, query: str, query_vector: list[float] | None, limit: int = 20, type_: str | None = None,
-    keyword_only: bool = False, semantic_only: bool = False, index: DataFrame | None = None, by_document: bool = False,
+    keyword_only: bool = False, semantic_only: bool = False, index: DataFrame | None = None, by_document: bool = False, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """(rowid, id, title, type, url, snippet, score, fts_rank, vec_rank), the best `limit` rows, unordered.
 
@@ -197,7 +230,7 @@ def hybrid_search(
     Bodies are read once the hits are known.
     """
     none = content.select(F.col("content_rowid").alias("rowid")).where(F.lit(False))
-    words = none.withColumn("score", F.lit(0.0)).withColumn("fts_rank", F.lit(0)) if semantic_only else keyword_search(content, query, limit, type_, index)
+    words = none.withColumn("score", F.lit(0.0)).withColumn("fts_rank", F.lit(0)) if semantic_only else keyword_search(content, query, limit, type_, index, sizes=sizes)
     near = none.withColumn("distance", F.lit(0.0)).withColumn("vec_rank", F.lit(0)) if keyword_only or query_vector is None else semantic_search(content, vectors, mapping, query_vector, limit, type_)
     if keyword_only and semantic_only:
         words = none.withColumn("score", F.lit(0.0)).withColumn("fts_rank", F.lit(0))

@@ -99,17 +99,15 @@ def sql_trim(x: str) -> str:
 
 
 def sql_html(x: str) -> str:
-    """The steps of html_to_text as SQL."""
-    for pattern in text.DROPPED:
-        x = f"regexp_replace({x}, '{pattern}', '', 'g')"
-    for tag, before, after in text.MARKED:
-        after = "' || chr(10) || '" * len(after)
-        x = rf"regexp_replace({x}, '(?i)<{tag}[^>]*>({text.ON_LINE}*?)</{tag}>', '{before}\1{after}', 'g')"
-    x = rf"regexp_replace({x}, '(?i)<br\s*/?>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
-    for entity, char in text.ENTITIES:
-        quoted = char.replace("'", "''")
-        x = f"replace({x}, '{entity.replace(chr(39), chr(39) * 2)}', '{quoted}')"
+    """The conversion of pages, written out by hand."""
+    line = r"[^\n\r\x{2028}\x{2029}]*?"
+    for tag in ("script", "style"):
+        x = rf"regexp_replace({x}, '<{tag}[^>]*>[\s\S]*?</{tag}>', '', 'gi')"
+    for start, before, after in (("h1", "# ", 1), ("h2", "## ", 1), ("h3", "### ", 1), ("p", "", 2), ("li", "- ", 1)):
+        x = rf"regexp_replace({x}, '<{start}[^>]*>({line})</{start}>', '{before}\1' || repeat(chr(10), {after}) || '', 'gi')"
+    x = rf"regexp_replace(regexp_replace({x}, '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
+    x = f"replace(replace(replace({x}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<')"
+    x = f"replace(replace(replace({x}, '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))"
     x = rf"regexp_replace({x}, '\n{text.WS}*\n{text.WS}*\n', chr(10) || chr(10), 'g')"
     return f"nullif({sql_trim(x)}, '')"
 
@@ -429,22 +427,30 @@ def sql_bm25(terms: list[search.Term], where: str = "TRUE", limit: int = 40) ->
       SELECT rowid, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, rowid)::INT AS fts_rank FROM sc ORDER BY fts_rank LIMIT {limit}"""
 
 
-def _keyword(name: str, words: str, type_: str | None = None) -> None:
+def _keyword(name: str, words: str, terms: list[tuple[tuple[str, ...], bool]], type_: str | None = None) -> None:
+    """A keyword query, and its terms as the SQL has them, written out by hand: (tokens, whether the last is a prefix)."""
     where = f"d.type = '{type_}'" if type_ else "TRUE"
 
-    @query(name, sql_bm25(search.compile_query(words), where))
+    @query(name, sql_bm25([search.Term(*t) for t in terms], where))
     def _(spark, root):
-        return search.keyword_search(read(spark, root, "content"), words, 20, type_).withColumn("score", F.round("score", 6))
+        stored = search.index_of(spark, root)
+        return search.keyword_search(read(spark, root, "content"), words, 20, type_, stored.occurrences, sizes=stored.lengths).withColumn("score", F.round("score", 6))
 
 
-_keyword("bm25_single", "it")
-_keyword("bm25_prefix", "deprec")
-_keyword("bm25_or", "deprecated shader lazily")
-_keyword("bm25_phrase", '"smooth toolbars"')
-_keyword("bm25_phrase_or_words", '"main thread" silent')
-_keyword("bm25_type_filter", "animate gesture", "talk")
-_keyword("bm25_marked_word", "what's new")
-_keyword("type_as_text", "sample")
+_keyword("bm25_single", "it", [(("it",), False)])
+_keyword("bm25_prefix", "deprec", [(("deprec",), True)])
+_keyword("bm25_or", "deprecated shader lazily", [(("deprecated",), True), (("shader",), True), (("lazily",), True)])
+_keyword("bm25_phrase", '"smooth toolbars"', [(("smooth", "toolbars"), False)])
+_keyword("bm25_phrase_or_words", '"main thread" silent', [(("main", "thread"), False), (("silent",), True)])
+_keyword("bm25_type_filter", "animate gesture", [(("animate",), True), (("gesture",), True)], "talk")
+_keyword("bm25_marked_word", "what's new", [(("what", "s"), True), (("new",), True)])
+_keyword("type_as_text", "sample", [(("sample",), True)])
+
+
+@query("bm25_without_a_stored_index", sql_bm25([search.Term(("toolbars",), True)]))
+def _(spark, root):
+    """The same over the texts themselves, as for a table that is searched once."""
+    return search.keyword_search(read(spark, root, "content"), "toolbars").withColumn("score", F.round("score", 6))
 
 
 @query("token_stats", f"WITH {_TOKENS} SELECT rowid AS content_rowid, len(c1)::BIGINT AS tokens, len(list_distinct(c1))::BIGINT AS terms FROM t")
@@ -455,12 +461,12 @@ def _(spark, root):
 
 @query("doc_lengths", f"WITH {_TOKENS} SELECT rowid, (len(c0) + len(c1) + len(c2) + len(c3))::BIGINT AS dl FROM t")
 def _(spark, root):
-    return search.lengths(read(spark, root, "content")).withColumn("dl", F.col("dl").cast("bigint"))
+    return search.index_of(spark, root).lengths.withColumn("dl", F.col("dl").cast("bigint"))
 
 
 @query("postings_top_terms", f"WITH {_TOKENS}, o AS (SELECT rowid, unnest(list_concat(list_concat(c0, c1), list_concat(c2, c3))) AS term FROM t) SELECT term, count(DISTINCT rowid) AS df, count(*) AS tf FROM o GROUP BY term ORDER BY df DESC, term LIMIT 50")
 def _(spark, root):
-    rows = search.postings(search.occurrences(read(spark, root, "content"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    rows = search.postings(search.index_of(spark, root).occurrences).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     return rows.orderBy(F.desc("df"), "term").limit(50)
 
 
@@ -516,7 +522,8 @@ WORDS = "smooth toolbars deprecated"
 
 def _hybrid_sql(keyword: bool, semantic: bool) -> str:
     """Fusion of both lists."""
-    k = f"SELECT rowid, fts_rank FROM ({sql_bm25(search.compile_query(WORDS))}) WHERE {keyword}"
+    words = [search.Term((w,), True) for w in ("smooth", "toolbars", "deprecated")]
+    k = f"SELECT rowid, fts_rank FROM ({sql_bm25(words)}) WHERE {keyword}"
     v = f"SELECT rowid, vec_rank FROM ({_semantic_sql()}) WHERE {semantic}"
     return f"""WITH k AS ({k}), v AS ({v}), f AS (SELECT coalesce(k.rowid, v.rowid) AS rowid, fts_rank, vec_rank, coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0) AS score FROM k FULL OUTER JOIN v ON k.rowid = v.rowid),
       b AS (SELECT * FROM f ORDER BY score DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST LIMIT 20)
@@ -527,7 +534,8 @@ def _hybrid(name: str, keyword_only: bool, semantic_only: bool) -> None:
     @query(name, _hybrid_sql(not semantic_only, not keyword_only))
     def _(spark, root):
         tables = [read(spark, root, t) for t in ("content", "content_vec", "content_vec_map")]
-        rows = search.hybrid_search(*tables, WORDS, _query_vector(spark, root), 20, None, keyword_only, semantic_only)
+        stored = search.index_of(spark, root)
+        rows = search.hybrid_search(*tables, WORDS, _query_vector(spark, root), 20, None, keyword_only, semantic_only, stored.occurrences, sizes=stored.lengths)
         return rows.drop("snippet").withColumn("score", F.round("score", 6))
 
 
