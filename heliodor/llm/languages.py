@@ -50,7 +50,7 @@ ROUNDS, CLEAR_BITS = 3, 6.0
 #: Consecutive sentences that make a language one of the document's.
 RUN = 2
 #: Documents that are judged together, and characters that are coded together.
-_PART, _CHUNK = 2_000, 60_000
+_PART, _CHUNK = 10_000, 30_000
 _PAD = b"\n" * (ORDER + 1)
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")

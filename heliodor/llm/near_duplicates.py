@@ -144,19 +144,20 @@ class NearDuplicates:
 
 
 def _proposed(banded: DataFrame, total: int, block: int = BAND_BLOCK) -> DataFrame:
-    """(a, b), a < b: the pairs of keys that share a band of `banded` (key, band), repeats kept.
+    """(a, b), a < b: the pairs of keys that share a band of `banded` (key, band), which has each row once; repeats kept.
 
-    A band with more keys than `block` (or the bound of hot keys, if greater) is cut into blocks by the hash of the key, and each pair of
-    blocks is a task's share of its own.
+    Most bands have one key or two, and are settled by the least and the greatest. Of a band with more keys than `block` (or the bound
+    of hot keys, if greater) the keys are cut into blocks by their hash, and each pair of blocks is a task's share of its own.
     """
     most = max(block, total // HOT)
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    crowded = F.broadcast(materialise(crowded.select("band", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "crowded"))  # HOT rows at most, as each has total / HOT keys
-    held = banded.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
+    bands = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1")
+    bands = materialise(bands, "bands")
+    held = banded.join(bands.where("n > 2").select("band", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "band")
+    held = held.withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
     x = held.select("band", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("key").alias("x"))
     y = held.select("band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"))
     both = x.join(y, ["band", "i", "j"]).where("i < j AND x != y OR x < y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return bands.where("n = 2").select("a", "b").unionAll(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def near_duplicates(
@@ -177,10 +178,11 @@ def near_duplicates(
     total = signed.count()
     named = materialise(join_classes(firsts, reps, ["same"], "m", total), "classes")
     members = materialise(join_classes(signed.select("key", "same", "equal").distinct(), named, ["same", "equal"], "n", total).select("key", "rep", "first"), "members")
-    one_each = signed.join(members.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    one_each = signed.join(members.where("key = rep").select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    one_each = materialise(one_each, "one-each")
 
     proposed = _proposed(one_each.select("key", F.explode("bands").alias("band")), total * bands).distinct()
-    sketches = signed.select("key", "sketch")
+    sketches = one_each.select("key", "sketch")
     judged = (
         proposed.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
