@@ -1,14 +1,16 @@
 """All core queries by name, and the SQL that the results of most of them are checked against.
 
-Queries that SQL can't express (JSON trees, archives, embeddings, snippets) have none and are tested on fixtures.
+Queries that SQL can't express (hashed embeddings, snippets) have none and are tested on fixtures. Pages, JSON and archives, which no
+table holds, are made from whole tables: one for each resource or code file.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +130,10 @@ def _(spark, root):
     return read(spark, root, "content").select("content_rowid", "id", "body").join(m, "id", "left").select("content_rowid", F.coalesce("given", text.first_line(F.col("body")), F.lit("Untitled")).alias("title"))
 
 
-@query("titles_from_paths", r"""SELECT id, array_to_string(list_transform(regexp_extract_all(replace(CASE WHEN split_part(url, '/', -1) = '' THEN split_part(url, '/', -2) ELSE split_part(url, '/', -1) END, '-', ' '), '([A-Za-z0-9_]+|[^A-Za-z0-9_]+)', 1), lambda p: upper(p[1:1]) || p[2:]), '') AS title FROM manifest""")
+_SQL_TITLE = r"""array_to_string(list_transform(regexp_extract_all(replace(CASE WHEN split_part(url, '/', -1) = '' THEN split_part(url, '/', -2) ELSE split_part(url, '/', -1) END, '-', ' '), '([A-Za-z0-9_]+|[^A-Za-z0-9_]+)', 1), lambda p: upper(p[1:1]) || p[2:]), '')"""
+
+
+@query("titles_from_paths", f"SELECT id, {_SQL_TITLE} AS title FROM manifest")
 def _(spark, root):
     return read(spark, root, "manifest").select("id", text.title_from_path(F.col("url")).alias("title"))
 
@@ -196,31 +201,37 @@ def _(spark, root):
     return read(spark, root, "manifest").where("type = 'doc'").select("id", primary.alias("primary_url"), fallback.alias("fallback_url"))
 
 
-PAGES = (
-    ("a", '<a href="/documentation/ui/view-stack/">A</a> <a href="/documentation/ui/list">B</a> <a href="/documentation/ui/list">B</a> <a href="/videos/play/conf2024/101/">V</a><title>List view - Docs</title>'),
-    ("b", '<a href="/videos/play/conf2023/7/">V</a><a href="/videos/play/conf2023/7/">V</a><a href="/documentation/net/session#overview">S</a><TITLE> Session </TITLE>'),
-    ("c", "<p>no links</p>"),
-)
-_PAGES_SQL = ", ".join("('{}', '{}')".format(*p) for p in PAGES)
+_SQL_PATH = f"CASE WHEN starts_with(url, '{SITE}/') THEN substr(url, {len(SITE) + 1}) ELSE '/elsewhere' END"
+#: A page for each resource: two links to it, a link to a talk, its title.
+_SQL_PAGES = f"""(SELECT id AS page, '<TITLE> ' || coalesce(title, '') || ' - Docs</TITLE><a href="' || {_SQL_PATH} || '">A</a> <p><a href="' || {_SQL_PATH} || '/">B</a> <a href="/videos/play/conf'
+  || (2019 + ascii(right(id, 1)) % 6)::VARCHAR || '/' || (100 + ascii(id))::VARCHAR || '/">V</a>' AS html FROM manifest)"""
+
+
+def _pages(spark: SparkSession, root: str) -> DataFrame:
+    """The same pages as columns."""
+    path = F.when(F.col("url").startswith(f"{SITE}/"), F.substring("url", len(SITE) + 1, 1_000_000)).otherwise("/elsewhere")
+    year, number = (F.lit(2019) + F.ascii(F.right("id", F.lit(1))) % 6).cast("string"), (F.lit(100) + F.ascii("id")).cast("string")
+    html = F.concat(F.lit("<TITLE> "), F.coalesce("title", F.lit("")), F.lit(' - Docs</TITLE><a href="'), path, F.lit('">A</a> <p><a href="'), path, F.lit('/">B</a> <a href="/videos/play/conf'), year, F.lit("/"), number, F.lit('/">V</a>'))
+    return read(spark, root, "manifest").select(F.col("id").alias("page"), html.alias("html"))
 
 
 @query("page_links", rf"""SELECT page, pos, link, count(*) OVER (PARTITION BY page, link) AS times, row_number() OVER (PARTITION BY page, link ORDER BY pos) AS nth
-  FROM (SELECT page, i AS pos, regexp_replace(l[i], '/$', '') AS link FROM (SELECT page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page, regexp_extract_all(html, 'href="(/documentation/[^"]+)"', 1) AS l FROM (VALUES {_PAGES_SQL}) v(page, html))))""")
+  FROM (SELECT page, i AS pos, regexp_replace(l[i], '/$', '') AS link FROM (SELECT page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page, regexp_extract_all(html, 'href="(/documentation/[^"]+)"', 1) AS l FROM {_SQL_PAGES})))""")
 def _(spark, root):
-    pages = spark.createDataFrame(PAGES, "page string, html string")
+    pages = _pages(spark, root)
     rows = pages.select("page", F.posexplode(text.links(F.col("html"))).alias("pos", "link")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
     times = rows.groupBy("page", "link").agg(F.count("*").alias("times"))
     return manifest.ordinal(rows, ["page", "link"], [F.col("pos")], "nth").withColumn("nth", F.col("nth").cast("bigint")).join(times, ["page", "link"])
 
 
-@query("session_links", rf"""SELECT DISTINCT page, unnest(regexp_extract_all(html, 'href="(/videos/play/[a-z]+\d+/\d+/)"', 1)) AS link FROM (VALUES {_PAGES_SQL}) v(page, html)""")
+@query("session_links", rf"""SELECT DISTINCT page, unnest(regexp_extract_all(html, 'href="(/videos/play/[a-z]+\d+/\d+/)"', 1)) AS link FROM {_SQL_PAGES}""")
 def _(spark, root):
-    return spark.createDataFrame(PAGES, "page string, html string").select("page", F.explode(text.session_links(F.col("html"))).alias("link"))
+    return _pages(spark, root).select("page", F.explode(text.session_links(F.col("html"))).alias("link"))
 
 
-@query("page_titles", rf"""SELECT page, {sql_trim("regexp_replace(nullif(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1), ''), ' - Docs$', '')")} AS title FROM (VALUES {_PAGES_SQL}) v(page, html)""")
+@query("page_titles", rf"""SELECT page, {sql_trim("regexp_replace(nullif(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1), ''), ' - Docs$', '')")} AS title FROM {_SQL_PAGES}""")
 def _(spark, root):
-    return spark.createDataFrame(PAGES, "page string, html string").select("page", text.page_title(F.col("html"), " - Docs").alias("title"))
+    return _pages(spark, root).select("page", text.page_title(F.col("html"), " - Docs").alias("title"))
 
 
 @query("transcript_format", rf"""WITH w AS (SELECT DISTINCT id, transcript, regexp_extract(transcript, '\d+:\d+') AS mark FROM wwdc_content)
@@ -520,13 +531,17 @@ _semantic("knn_type_prefilter", "talk", True)
 WORDS = "smooth toolbars deprecated"
 
 
-def _hybrid_sql(keyword: bool, semantic: bool) -> str:
-    """Fusion of both lists."""
+def _hybrid_sql(keyword: bool, semantic: bool, by_document: bool = False) -> str:
+    """Fusion of both lists; the best chunk of each item, if asked for."""
+    best = "SELECT * FROM f ORDER BY score DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST LIMIT 20"
+    if by_document:
+        best = """SELECT f.* FROM (SELECT f.*, row_number() OVER (PARTITION BY c.id ORDER BY score DESC, f.rowid) AS nth FROM (SELECT * FROM f ORDER BY score DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST LIMIT 80) f
+          JOIN content c ON c.content_rowid = f.rowid) f WHERE nth = 1 ORDER BY score DESC, rowid LIMIT 20"""
     words = [search.Term((w,), True) for w in ("smooth", "toolbars", "deprecated")]
     k = f"SELECT rowid, fts_rank FROM ({sql_bm25(words)}) WHERE {keyword}"
     v = f"SELECT rowid, vec_rank FROM ({_semantic_sql()}) WHERE {semantic}"
     return f"""WITH k AS ({k}), v AS ({v}), f AS (SELECT coalesce(k.rowid, v.rowid) AS rowid, fts_rank, vec_rank, coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0) AS score FROM k FULL OUTER JOIN v ON k.rowid = v.rowid),
-      b AS (SELECT * FROM f ORDER BY score DESC, fts_rank ASC NULLS LAST, vec_rank ASC NULLS LAST LIMIT 20)
+      b AS ({best})
       SELECT b.rowid, c.id, c.title, c.type, c.url, round(score, 6) AS score, fts_rank, vec_rank FROM b JOIN content c ON c.content_rowid = b.rowid"""
 
 
@@ -544,16 +559,18 @@ _hybrid("hybrid_keyword_only", True, False)
 _hybrid("hybrid_semantic_only", False, True)
 
 
-@query("hybrid_by_document")
+@query("hybrid_by_document", _hybrid_sql(True, True, True))
 def _(spark, root):
-    tables = [read(spark, root, t) for t in ("content", "content_vec", "content_vec_map")]
-    return search.hybrid_search(*tables, WORDS, _query_vector(spark, root), by_document=True)
+    tables, stored = [read(spark, root, t) for t in ("content", "content_vec", "content_vec_map")], search.index_of(spark, root)
+    rows = search.hybrid_search(*tables, WORDS, _query_vector(spark, root), by_document=True, index=stored.occurrences, sizes=stored.lengths)
+    return rows.drop("snippet").withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_snippets")
 def _(spark, root):
     tables = [read(spark, root, t) for t in ("content", "content_vec", "content_vec_map")]
-    return search.hybrid_search(*tables, WORDS, _query_vector(spark, root))
+    stored = search.index_of(spark, root)
+    return search.hybrid_search(*tables, WORDS, _query_vector(spark, root), index=stored.occurrences, sizes=stored.lengths)
 
 
 @query("pending_embeddings", "SELECT content_rowid FROM content WHERE content_rowid NOT IN (SELECT content_rowid FROM content_vec_map)")
@@ -571,60 +588,91 @@ def _(spark, root):
     return embedding.embed(read(spark, root, "content"), read(spark, root, "content_vec_map"))
 
 
-# --- JSON pages and archives, on built-in pages -----------------------------------------------------------------------------
+# --- JSON pages and archives: a page for each resource, an archive for each code file ----------------------------------------
 
-JSON_PAGE = """{"metadata": {"title": "View", "abstract": [{"type": "text", "text": "A "}, {"type": "codeVoice", "code": "View"}]}, "primaryContentSections": [{"kind": "content", "content": [
- {"type": "heading", "level": 3, "inlineContent": [{"type": "text", "text": "Overview"}]}, {"type": "paragraph", "inlineContent": [{"type": "strong", "inlineContent": [{"type": "text", "text": "Use"}]}, {"type": "reference", "identifier": "doc://app/documentation/ui/list"}]}]}],
- "references": {"a": {"url": "/documentation/ui/list-view"}, "b": {"url": "/documentation/ui/text", "title": "Text", "references": [{"url": "/documentation/ui/deep"}]}, "c": {"url": "/other"}},
- "sampleCodeDownload": {"action": {"isActive": true, "identifier": "abc/Sample.zip"}}}"""
 
+def _json_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(url, title, payload): a JSON page for each resource. Its title, source and type are text, its reference names itself and a deeper page."""
+    m = read(spark, root, "manifest")
+    inline = lambda kind, **held: F.struct(F.lit(kind).alias("type"), *(v.alias(k) for k, v in held.items()))
+    abstract = F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("From "), F.coalesce("source", F.lit("nowhere")), F.lit(" ")).alias("text"), F.lit(None).cast("string").alias("code")), F.struct(F.lit("codeVoice").alias("type"), F.lit(None).cast("string").alias("text"), F.col("type").alias("code")))
+    heading = F.struct(F.lit("heading").alias("type"), F.lit(3).alias("level"), F.array(inline("text", text=F.lit("Overview"))).alias("inlineContent"))
+    paragraph = F.struct(F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.array(inline("text", text=F.concat(F.lit("Status: "), F.coalesce("status", F.lit("none"))))).alias("inlineContent"))
+    section = F.struct(F.lit("content").alias("kind"), F.array(heading, paragraph).alias("content"))
+    path = F.when(F.col("url").startswith(f"{SITE}/"), F.substring("url", len(SITE) + 1, 1_000_000)).otherwise("/elsewhere")
+    deep = F.array(F.struct(F.concat(F.lit("/documentation/deep/"), "id").alias("url"), F.lit("Deep").alias("title")))
+    references = F.struct(F.struct(path.alias("url"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Named")).alias("title"), deep.alias("references")).alias("a"))
+    page = F.struct(F.struct("title", abstract.alias("abstract")).alias("metadata"), F.array(section).alias("primaryContentSections"), references.alias("references"))
+    return m.select("id", "type", "url", F.lit(None).cast("string").alias("title"), F.to_json(page).alias("payload"))
 
-def _json_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"{SITE}/documentation/ui/view", JSON_PAGE, None), (f"{SITE}/documentation/ui/none", "not json", "None")], "url string, payload string, title string")
 
-
-@query("json_to_markdown")
+@query("json_to_markdown", """SELECT url, '# ' || coalesce(nullif(title, ''), 'Document') || chr(10) || chr(10) || 'From ' || coalesce(source, 'nowhere') || ' `' || type || '`' || chr(10) || chr(10)
+  || '### Overview' || chr(10) || 'Status: ' || coalesce(status, 'none') || chr(10) || chr(10) || '---' || chr(10) || 'Source: ' || url AS markdown FROM manifest""")
 def _(spark, root):
-    return _json_pages(spark).select("url", F.coalesce(docjson.json_to_markdown("payload", "url", "title"), text.html_to_text(F.col("payload"))).alias("markdown"))
+    return _json_pages(spark, root).select("url", F.coalesce(docjson.json_to_markdown("payload", "url", "title"), text.html_to_text(F.col("payload"))).alias("markdown"))
 
 
-@query("json_references")
+@query("json_references", f"""SELECT url AS src_url, url AS dst_url, coalesce(nullif(title, ''), 'Named') AS title FROM manifest WHERE starts_with(url, '{SITE}/documentation/')
+  UNION ALL SELECT url, '{SITE}/documentation/deep/' || id, 'Deep' FROM manifest""")
 def _(spark, root):
-    return graph.edges(_json_pages(spark))
+    return graph.edges(_json_pages(spark, root))
 
 
-@query("sample_downloads")
+@query("sample_downloads", f"""SELECT id, 'Page ' || id AS title, CASE ascii(right(id, 1)) % 4 WHEN 1 THEN '{SITE}/assets/' || id || '.zip' WHEN 2 THEN 'https://elsewhere.example/' || id || '.zip' END AS download FROM manifest""")
 def _(spark, root):
-    return _json_pages(spark).where("payload LIKE '{%'").select("url", docjson.json_title(F.col("payload")).alias("title"), docjson.sample_download(F.col("payload"), f"{SITE}/assets/").alias("download"))
+    """Pages whose download is inactive, active, at a full address, or without an identifier."""
+    kind = F.ascii(F.right("id", F.lit(1))) % 4
+    action = F.when(kind == 0, F.lit('"isActive": 0, "identifier": "x.zip"')).when(kind == 1, F.concat(F.lit('"isActive": true, "identifier": "'), "id", F.lit('.zip"'))).when(kind == 2, F.concat(F.lit('"isActive": "yes", "identifier": "https://elsewhere.example/'), "id", F.lit('.zip"'))).otherwise(F.lit('"isActive": true, "identifier": 7'))
+    payload = F.concat(F.lit('{"metadata": {"title": "Page '), "id", F.lit('"}, "sampleCodeDownload": {"action": {'), action, F.lit("}}}"))
+    pages = read(spark, root, "manifest").select("id", payload.alias("payload"))
+    return pages.select("id", docjson.json_title(F.col("payload")).alias("title"), docjson.sample_download(F.col("payload"), f"{SITE}/assets/").alias("download"))
+
+
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    """(url, payload): an archive for each code file of the content, which also holds files that are left out."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, body in zip(b["path"], b["body"]):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for name, data in ((path, body), ("docs/README.md", "# r"), ("App/.hidden.swift", "x"), ("x/.build/y.c", "int y;")):
+                        z.writestr(zipfile.ZipInfo(name), data)
+                out.append(held.getvalue())
+            yield pd.DataFrame({"url": b["url"], "payload": out})
+
+    files = read(spark, root, "content").where("type = 'code_file' AND body IS NOT NULL").select(F.concat(F.lit(f"{SITE}/archives/"), F.col("content_rowid").cast("string"), F.lit(".zip")).alias("url"), text.split_code_url(F.col("url")).alias("path"), "body")
+    return files.where("path <> ''").mapInPandas(pack, "url string, payload binary")
 
 
-def _archive_bytes() -> bytearray:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in (("App/Main.swift", "print(1)\n"), ("App/.hidden.swift", "x"), ("README.md", "# r"), ("App/Data.json", "{}" * 4000), ("App/.build/x.c", "int x;")):
-            z.writestr(zipfile.ZipInfo(name), body)
-    return bytearray(out.getvalue())
+_SQL_FILES = f"(SELECT '{SITE}/archives/' || content_rowid || '.zip' AS url, path, body, {sql_source('path')} FROM (SELECT *, substr(url, instr(url, '#') + 1) AS path FROM content WHERE type = 'code_file' AND instr(url, '#') > 0 AND body IS NOT NULL))"
 
 
-@query("archive_files")
+@query("archive_files", f"SELECT left(sha256(url || '#' || path), 16) AS id, url, path, body AS content FROM {_SQL_FILES} WHERE is_source")
 def _(spark, root):
-    zips = spark.createDataFrame([(f"{SITE}/a.zip", _archive_bytes()), (f"{SITE}/broken.zip", bytearray(b"no zip"))], "url string, payload binary")
-    return archives.source_files(archives.entries(zips, "url", "payload").withColumnRenamed("key", "url"), "url").select("id", "url", "path", "content")
+    return archives.source_files(archives.entries(_archives(spark, root), "url", "payload").withColumnRenamed("key", "url"), "url").select("id", "url", "path", "content")
 
 
-@query("archive_summary")
+@query("archive_summary", f"""SELECT url, '# A' || chr(10) || chr(10) || 'URL: ' || url || chr(10) || chr(10) || '## Source Files (1)' || chr(10) || chr(10) || '### ' || path || chr(10) || chr(10) || '```' || language || chr(10)
+  || CASE WHEN length(body) > 5000 THEN left(body, 5000) || chr(10) || '// ... (truncated)' ELSE body END || chr(10) || '```' || chr(10) || chr(10) AS markdown FROM {_SQL_FILES} WHERE is_source""")
 def _(spark, root):
-    return archives.summary(QUERIES["archive_files"](spark, root).withColumn("title", F.lit("A")), ["url"], "title", "url")
+    return archives.summary(QUERIES["archive_files"](spark, root).withColumn("title", F.lit("A")), ["url"], "title", "url").select("url", "markdown")
 
 
 # --- discovery and fetching ---------------------------------------------------------------------------------------------------
 
 
-@query("discover_sources")
+@query("discover_sources", rf"""WITH talks AS (SELECT DISTINCT 2019 + ascii(right(id, 1)) % 6 AS y, 100 + ascii(id) AS n FROM manifest),
+  docs AS (SELECT DISTINCT url, {_SQL_TITLE} AS title FROM manifest WHERE starts_with(url, '{SITE}/documentation/')),
+  f AS (SELECT 'talk' AS type, '{SITE}/videos/play/conf' || y || '/' || n || '/' AS url, 'wwdc' AS source, 'WWDC' || y || ' Session ' || n AS title FROM talks
+    UNION ALL SELECT 'doc', url, 'whats-new', title FROM docs UNION ALL SELECT 'doc', '{SITE}/documentation/deep/' || id, 'technologies', 'Deep' FROM manifest)
+  SELECT left(sha256(url), 16) AS id, type, url, source, 'discovered' AS status, title FROM f""")
 def _(spark, root):
-    pages = spark.createDataFrame(PAGES, "page string, html string")
+    """All sources at once; a page that several of them name belongs to the one asked first."""
+    pages, payloads = _pages(spark, root), _json_pages(spark, root)
     none = spark.createDataFrame([], "id string, type string, url string, source string, status string, title string")
-    return discovery.discover(pages, pages, _json_pages(spark), none, _json_pages(spark))
+    return discovery.discover(pages, pages, payloads, none, payloads)
 
 
 @query("fetch_outcomes", """WITH store AS (SELECT url AS address, max(l.etag) AS etag FROM manifest m JOIN process_log l ON l.id = m.id WHERE l.outcome = 'done' GROUP BY url)
