@@ -9,12 +9,12 @@ import sys
 import webbrowser
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.operators import embedding, resolve, retention, search, status
 from heliodor.plans import sync
-from heliodor.session import get_session
-from heliodor.sources.tables import read
+from heliodor.session import get_session, scratch
 
 
 def parse_limit(value: str | int | None, default: int = 20) -> int:
@@ -76,29 +76,35 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, ask: Callable[[str], str] = input, browse: Callable[[str], object] = webbrowser.open) -> int:
-    args = parser().parse_args(argv)
-    spark, told = get_session(), None
+    args, spark = parser().parse_args(argv), get_session()
+    with scratch():
+        return run(spark, args, ask, browse)
+
+
+def run(spark: SparkSession, args: argparse.Namespace, ask: Callable[[str], str], browse: Callable[[str], object]) -> int:
+    told = None
     if args.command == "search":
-        tables = [read(spark, args.root, t) for t in ("content", "content_vec", "content_vec_map")]
+        tables = [sync.open_table(spark, args.root, t) for t in ("content", "content_vec", "content_vec_map")]
         vector = embedding.hashing_embedder([args.query])[0].tolist()
-        rows = search.hybrid_search(*tables, args.query, vector, parse_limit(args.limit), args.type, args.keyword, args.semantic)
+        stored = sync.open_index(spark, args.root)
+        rows = search.hybrid_search(*tables, args.query, vector, parse_limit(args.limit), args.type, args.keyword, args.semantic, stored.occurrences, sizes=stored.lengths)
         out = [r.asDict() for r in rows.orderBy(F.desc("score"), F.asc_nulls_last("fts_rank"), F.asc_nulls_last("vec_rank")).collect()]
         told = search_text(out)
     elif args.command in ("show", "open"):
-        found = resolve.resolve(spark.createDataFrame([(args.ref,)], "ref string"), read(spark, args.root, "manifest"))
+        found = resolve.resolve(spark.createDataFrame([(args.ref,)], "ref string"), sync.open_table(spark, args.root, "manifest"))
         if args.command == "open":
             url = found.first()["url"]
             out, told = {"opened": url}, f"Opened {url}"
             if url:
                 browse(url)
         else:
-            out = [r.asDict() for r in resolve.show(found, read(spark, args.root, "content")).orderBy("chunk_index").collect()]
+            out = [r.asDict() for r in resolve.show(found, sync.open_table(spark, args.root, "content")).orderBy("chunk_index").collect()]
             told, url = "\n\n".join(f"{r['title']}\n{r['body']}" for r in out), out
         if not url:
             print(json.dumps({"error": f"nothing found for {args.ref}"}), file=sys.stderr if args.command == "open" else sys.stdout)
             return 1
     elif args.command == "status":
-        m, content = read(spark, args.root, "manifest"), read(spark, args.root, "content")
+        m, content = sync.open_table(spark, args.root, "manifest"), sync.open_table(spark, args.root, "content")
         out = {name: {r[c]: r["n"] for r in status.counts(m, c).orderBy(c).collect() if r[c] is not None} for name, c in (("byStatus", "status"), ("byType", "type"))}
         totals = status.totals(m, content).first()
         failed = m.where("status = 'failed'").select("url", "title").orderBy("url").limit(10)

@@ -101,11 +101,11 @@ class Stored(NamedTuple):
     lengths: DataFrame
 
 
-def store_index(content: DataFrame) -> Stored:
-    """Write the index of `content` once. Ranges of (term, row) are the files, so a frequent term is spread over several."""
+def store_index(content: DataFrame, keep: bool = False) -> Stored:
+    """Write the index of `content` once; with `keep` it outlives a `scratch` block. Ranges of (term, row) are the files, so a frequent term is spread over several."""
     texts = spread(content.select("content_rowid", *COLUMNS), "content_rowid")
     ordered = occurrences(texts).repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid", "col", "pos")
-    return Stored(materialise(ordered, "index"), materialise(lengths(texts), "lengths"))
+    return Stored(materialise(ordered, "index", keep), materialise(lengths(texts), "lengths", keep))
 
 
 _stored: dict[tuple, Stored] = {}
@@ -122,7 +122,7 @@ def index_of(spark: SparkSession, root: str) -> Stored:
         seen.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
     key = (spark.sparkContext.applicationId, tuple(sorted(seen)))
     if key not in _stored:
-        _stored[key] = store_index(read(spark, root, "content"))
+        _stored[key] = store_index(read(spark, root, "content"), keep=True)
     return _stored[key]
 
 

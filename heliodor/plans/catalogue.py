@@ -194,6 +194,13 @@ def _(spark, root):
     return read(spark, root, "doc_graph_progress").select("url", "error").distinct().withColumn("retry", text.is_retryable(F.col("error")))
 
 
+@query("retry_delays", """SELECT url, attempt, (1000 * 2 ** attempt)::BIGINT AS delay_ms FROM (SELECT DISTINCT url FROM doc_graph_progress WHERE status = 'failed'), (SELECT unnest([0, 1, 2]) AS attempt)""")
+def _(spark, root):
+    failed = read(spark, root, "doc_graph_progress").where("status = 'failed'").select("url").distinct()
+    tries = failed.select("url", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"))
+    return tries.select("url", "attempt", text.retry_delay(F.col("attempt")).alias("delay_ms"))
+
+
 @query("doc_endpoints", rf"""SELECT id, '{SITE}/tutorials/data/documentation/' || p || '.json' AS primary_url, '{SITE}/documentation/' || p || '/data.json' AS fallback_url
   FROM (SELECT id, regexp_extract(url, '/documentation/([^\n\r]+?)/?$', 1) AS p FROM manifest WHERE type = 'doc')""")
 def _(spark, root):

@@ -1,6 +1,6 @@
 """The batch pipeline from raw payloads to an index, one declarative job a stage, resumable between stages.
 
-Tables live under a root: manifest, raw (fetched payloads), texts, content, vectors. Each is a versioned target, so a run that
+Tables live under a root: manifest, raw (fetched payloads), texts, content, index and lengths (the inverted index), vectors. Each is a versioned target, so a run that
 fails leaves the last published state, and the next run takes what is still pending. A record that failed is pending again.
 """
 
@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.functions import archives, chunking, docjson, text
-from heliodor.operators import embedding, manifest
+from heliodor.operators import embedding, manifest, search
 from heliodor.operators.incremental import Target, pending
 from heliodor.session import materialise
 from heliodor.sources import raw as payloads
+from heliodor.sources.tables import read
 
 STAGES = ("discover", "fetch", "normalize", "index", "embed")
 #: Fixed value: where relative sample downloads lie.
@@ -156,6 +157,8 @@ def sync(
         old = contents.read()
         gone = old.select("id").distinct().join(texts.read().select("id"), "id", "left_anti") if old is not None else None
         taken["index"] = contents.publish(rows, gone)
+    if "index" in stages and contents.current():
+        _index_terms(spark, root, contents.read())
     vectors = Target(spark, f"{root}/vectors")
     if "embed" in stages and contents.current():
         content, old = contents.read(), vectors.read()
@@ -168,6 +171,38 @@ def sync(
     return taken
 
 
+def _index_terms(spark: SparkSession, root: str, content: DataFrame) -> None:
+    """Bring the inverted index up to `content`. The lengths are published last and are the state, so a run that dies between is made good."""
+    occurrences, lengths = Target(spark, f"{root}/index"), Target(spark, f"{root}/lengths")
+    old = lengths.read()
+    todo = content if old is None else pending(content, old.select("id", "etag", "content_hash").distinct())
+    todo = todo.select("content_rowid", *search.COLUMNS, "id", "etag", "content_hash")
+    of = todo.select(F.col("content_rowid").alias("rowid"), "id", "etag", "content_hash")
+    gone = old.select("id").distinct().join(content.select("id"), "id", "left_anti") if old is not None else None
+    rows = search.occurrences(todo).join(of.select("rowid", "id"), "rowid")
+    occurrences.publish(rows.repartitionByRange("term", "rowid").sortWithinPartitions("term", "rowid", "col", "pos"), gone)
+    lengths.publish(search.lengths(todo).join(of, "rowid"), gone)
+
+
+def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table that `sync` keeps under `root`, or the Parquet table of that name; the vectors of either in the form of the latter."""
+    kept = {"content_vec": "vectors", "content_vec_map": "vectors"}.get(name, name)
+    held = Target(spark, f"{root}/{kept}").read()
+    if held is None:
+        return read(spark, root, name)
+    if name == "content_vec":
+        return held.select(F.col("content_rowid").alias("vec_rowid"), "embedding")
+    if name == "content_vec_map":
+        return held.select("content_rowid", F.col("content_rowid").alias("vec_rowid"))
+    return held
+
+
+def open_index(spark: SparkSession, root: str) -> search.Stored:
+    """The inverted index that `sync` keeps, or one built from the Parquet table."""
+    occurrences, lengths = Target(spark, f"{root}/index").read(), Target(spark, f"{root}/lengths").read()
+    return search.index_of(spark, root) if occurrences is None or lengths is None else search.Stored(occurrences.drop("id"), lengths.select("rowid", "dl"))
+
+
 def _unlisted(target: Target, found: DataFrame) -> DataFrame:
     """The resources of `found` that the manifest doesn't list yet."""
     old = target.read()

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +70,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
@@ -79,18 +82,32 @@ def _remove_written() -> None:
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(lambda: _remove([*_written, *_kept]))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as a table in the shared folder and read it back.
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables that `materialise` writes inside, once the results made of them have been consumed there.
+
+    Without it they stay until the process ends, as a lazy result may read them at any time.
+    """
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[since:])
+        del _written[since:]
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` once as a table in the shared folder and read it back; with `keep` it stays until the process ends.
 
     This cuts the lineage and survives the loss of executors. The columns are kept by name and pruned on later reads.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"heliodor-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ The store is a table (address, payload, etag, last_modified). Anything that fill
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.functions.text import content_hash, doc_endpoints
@@ -36,6 +36,17 @@ def counters(fetched: DataFrame) -> DataFrame:
     return fetched.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def archive_files(spark: SparkSession, folder: str, pattern: str = "*.zip") -> DataFrame:
+    """(path, payload): the archives of a folder, as bytes."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("content").alias("payload"))
+
+
+def normalized_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, text): the files of a folder of normalized texts, whose names are the ids; whole texts."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{md,txt}")
+    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("id"), F.col("value").alias("text"))
+
+
 def write_by_type(rows: DataFrame, path: str) -> None:
     """Payloads in a folder for each type, so that a stage reads only its own."""
     rows.write.mode("append").partitionBy("type").parquet(path)

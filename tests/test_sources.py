@@ -43,3 +43,21 @@ def test_stored_payloads(spark, tmp_path):
     assert [r["payload"] for r in back.collect()] == ["a"]
     old = spark.createDataFrame([("1", "old"), ("3", "c")], "id string, payload string")
     assert sorted((r["id"], r["payload"]) for r in raw.existing(rows, old).collect()) == [("1", "a"), ("2", "b"), ("3", "c")]
+
+
+def test_folders_of_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    from heliodor.functions import archives
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("A/b.swift", "let b")
+    (tmp_path / "a.zip").write_bytes(held.getvalue())
+    (tmp_path / "x1.md").write_text("# One\n\ntext\n")
+    (tmp_path / "x2.txt").write_text("two")
+    (tmp_path / "skip.json").write_text("{}")
+    zips = raw.archive_files(spark, str(tmp_path))
+    assert [(r["path"], r["content"]) for r in archives.entries(zips, "path", "payload").collect()] == [("A/b.swift", "let b")]
+    assert sorted(tuple(r) for r in raw.normalized_files(spark, str(tmp_path)).collect()) == [("x1", "# One\n\ntext\n"), ("x2", "two")]

@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from heliodor.functions import text
-from heliodor.operators import embedding, incremental
+from heliodor.operators import embedding, incremental, search
 from heliodor.plans import sync
 
 RAW = "id string, type string, url string, source string, title string, payload string, etag string, content_hash string"
@@ -106,3 +106,17 @@ def test_failed_records_are_taken_again(spark, tmp_path):
     empty_then_full[0] = ("1", "doc", "u1", "x", "T", "<p>now</p>", "e", "h")
     again = sync.sync(spark, root, spark.createDataFrame(empty_then_full, RAW))
     assert (again["normalize"], again["index"], again["embed"]) == (1, 1, 1)
+
+
+def test_the_index_follows_the_content(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    rows = [("1", "code_file", "u1", "x", "T", "smooth toolbars", "e", "h"), ("2", "code_file", "u2", "x", "T", "other toolbars", "e", "h")]
+    for change in (None, ("1", "code_file", "u1", "x", "T", "quite another text", "e2", "h2")):
+        if change:
+            rows[0] = change
+        sync.sync(spark, root, spark.createDataFrame(rows, RAW))
+        stored, content = sync.open_index(spark, root), sync.open_table(spark, root, "content")
+        for words in ("toolbars", '"smooth toolbars"', "text"):
+            want = sorted(map(tuple, search.keyword_search(content, words).collect()))
+            assert sorted(map(tuple, search.keyword_search(content, words, index=stored.occurrences, sizes=stored.lengths).collect())) == want
+    assert sync.open_table(spark, root, "content_vec").count() == sync.open_table(spark, root, "content_vec_map").count() == 2
