@@ -328,10 +328,16 @@ def _(spark, root):
     return manifest.refresh(read(spark, root, "manifest"), NOW).select("id", "status")
 
 
-@query("manifest_violations", """SELECT 'duplicate id' AS rule, id AS value FROM manifest GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate url', url FROM manifest GROUP BY url HAVING count(*) > 1
-  UNION ALL SELECT 'bad type', id FROM manifest WHERE type IS NULL OR type NOT IN ('doc', 'talk', 'sample', 'code_file') UNION ALL SELECT 'bad status', id FROM manifest WHERE status IS NULL OR status NOT IN ('discovered', 'fetched', 'normalized', 'indexed', 'failed')""")
-def _(spark, root):
-    return manifest.violations(read(spark, root, "manifest"))
+@query("manifest_violations", """WITH m AS (SELECT id, type, url, status FROM manifest UNION ALL SELECT id, 'hub', url, NULL FROM seeds UNION ALL SELECT id, 'doc', url, 'indexed' FROM seeds)
+  SELECT 'duplicate id' AS rule, id AS value FROM m GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate url', url FROM m GROUP BY url HAVING count(*) > 1
+  UNION ALL SELECT 'bad type', id FROM m WHERE type IS NULL OR type NOT IN ('doc', 'talk', 'sample', 'code_file') UNION ALL SELECT 'bad status', id FROM m WHERE status IS NULL OR status NOT IN ('discovered', 'fetched', 'normalized', 'indexed', 'failed')""")
+def _(spark, root):
+    """The manifest's rules over itself and the hub pages, put in twice: once with a type and a status that aren't allowed."""
+    seeds = read(spark, root, "seeds").select("id", "url")
+    rows = read(spark, root, "manifest").select("id", "type", "url", "status")
+    bad = seeds.select("id", F.lit("hub").alias("type"), "url", F.lit(None).cast("string").alias("status"))
+    good = seeds.select("id", F.lit("doc").alias("type"), "url", F.lit("indexed").alias("status"))
+    return manifest.violations(rows.unionByName(bad).unionByName(good))
 
 
 @query("fetchable", """SELECT id, url, CASE WHEN status <> 'failed' THEN etag END AS etag, CASE WHEN status <> 'failed' THEN last_modified END AS last_modified,
