@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliodor.operators.skew import join_classes
-from heliodor.session import materialise
+from heliodor.session import materialise, spread
 from heliodor.sources.tables import read
 
 #: The most vectors the index is fitted on.
@@ -77,6 +77,7 @@ class Index:
         self.cuts = [np.arange(len(rest[0]))[i::code] for i in range(min(code, rest.shape[1]))]
         some = rest[rng.permutation(len(rest))[:8000]]
         self.books = [_k_means(np.ascontiguousarray(some[:, c]), BOOK, 4, rng) for c in self.cuts]
+        self.squares = [(b * b).sum(1) for b in self.books]
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[cell]
@@ -85,18 +86,27 @@ class Index:
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances of the query's residual to each codebook entry: (sub-quantiser, query, entry)."""
         rest = q - self.coarse[cell]
-        out = np.zeros((len(self.cuts), len(q), BOOK), np.float32)
-        for i, (c, b) in enumerate(zip(self.cuts, self.books)):
+        out = np.empty((len(self.cuts), len(q), BOOK), np.float32)
+        for i, (c, b, bb) in enumerate(zip(self.cuts, self.books, self.squares)):
             r = rest[:, c]
-            out[i, :, : len(b)] = (r * r).sum(1)[:, None] - 2 * r @ b.T + (b * b).sum(1)
+            np.subtract((r * r).sum(1)[:, None] + bb, 2 * r @ b.T, out=out[i, :, : len(b)])
         return out
 
 
 def usable(df: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
-    """(key, v) of vectors with `dimension` finite values, not all zero."""
-    v = F.col(vector)
-    good = (F.size(v) == dimension) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(F.col(key).isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).cast("bigint").alias("key"), F.transform(v, lambda x: x.cast("float") + F.lit(0).cast("float")).alias("v"))
+    """(key, v) of vectors with `dimension` finite values, not all zero, as `_pack` has them."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            with np.errstate(over="ignore"):
+                x = np.array([np.asarray(v, np.float64) for v in b["v"]]).astype(np.float32) + np.float32(0)  # no negative zeros
+            good = np.isfinite(x).all(1) & x.any(1)
+            yield pd.DataFrame({"key": b["key"][good], "v": [_pack(v) for v in x[good]]})
+
+    rows = df.where(F.col(key).isNotNull() & (F.size(vector) == dimension)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v"))
+    return spread(rows, "key").mapInPandas(pack, "key bigint, v binary")
 
 
 def _pack(vector: np.ndarray) -> bytes:
@@ -107,6 +117,8 @@ def _pack(vector: np.ndarray) -> bytes:
 
 
 def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
+    if all(len(b) == 2 * dimension for b in column):
+        return np.frombuffer(b"".join(column), np.float16).reshape(-1, dimension).astype(np.float32)
     return np.stack([np.frombuffer(b, np.float16 if len(b) == 2 * dimension else np.float32).astype(np.float32, copy=False) for b in column])
 
 
@@ -121,11 +133,7 @@ def nearest_vectors(
     """
     spark = df.sparkSession
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"key": b["key"], "v": [_pack(np.asarray(x, np.float32)) for x in b["v"]]})
-
-    packed = usable(df, key, vector, dimension).mapInPandas(pack, "key bigint, v binary")
+    packed = usable(df, key, vector, dimension)
     packed = materialise(packed.withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))), "vectors")
     # Equal vectors are one class, told by 128 bits of hash and combined before the shuffle; the vectors themselves travel once.
     classes = materialise(packed.groupBy("same").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies"), F.count("*").alias("n")), "classes")
@@ -172,7 +180,7 @@ def nearest_vectors(
         x, ids = _matrix(base["v"], dimension), base["key"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in base["code"]])[order]
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(ids), -1)[order].T)
         asking_ids, out = mine["key"].to_numpy(), []
         q_all, xx = _matrix(mine["v"], dimension), (x * x).sum(1)
         most, kept = min(shortlist, len(ids)), min(k, len(ids))
@@ -180,8 +188,8 @@ def nearest_vectors(
             q, q_ids = q_all[at : at + 64], asking_ids[at : at + 64]
             t = index.value.tables(q, int(group["cell"].iat[0]))
             rough = np.zeros((len(q), len(ids)), np.float32)
-            for i in range(codes.shape[1]):
-                rough += t[i].take(codes[:, i], axis=1)
+            for of_part, code in zip(t, codes):
+                rough += of_part.take(code, axis=1)
             self_ = ids == q_ids[:, None]
             rough[self_] = np.inf
             # the shortlist by single precision, and what is that near to its k best exactly
