@@ -220,3 +220,13 @@ WITH w AS (SELECT content_rowid AS r, regexp_extract_all(lower(body), '[\p{L}\p{
   p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2)
 SELECT x AS content_rowid_a, y AS content_rowid_b FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE c >= 0.7 * (nx.n + ny.n - c)
 """
+
+P2_CLASSES_SQL = r"""
+WITH w AS (SELECT content_rowid AS r, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM content WHERE body IS NOT NULL),
+  m AS (SELECT r, w, min(r) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM w WHERE len(w) >= 80),
+  s AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM m WHERE r = rep)),
+  n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+  p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+  d AS (SELECT x, count(*) AS links FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE c >= 0.7 * (nx.n + ny.n - c) GROUP BY x)
+SELECT m.r AS content_rowid, m.rep AS class_id, m.copies, coalesce(d.links, 0) AS links FROM m LEFT JOIN d ON d.x = m.rep
+"""

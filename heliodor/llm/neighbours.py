@@ -243,3 +243,9 @@ WITH v AS (SELECT DISTINCT vec_rowid AS k, embedding::DOUBLE[] AS e FROM content
   d AS (SELECT a.k, b.k AS n, row_number() OVER (PARTITION BY a.k ORDER BY list_distance(a.e, b.e), b.k) AS rank FROM v a JOIN v b ON a.k <> b.k)
 SELECT DISTINCT least(k, n) AS vec_rowid_a, greatest(k, n) AS vec_rowid_b FROM d WHERE rank <= 5
 """
+
+P3_NEIGHBOURS_SQL = """
+WITH v AS (SELECT DISTINCT vec_rowid AS k, embedding::DOUBLE[] AS e FROM content_vec WHERE len(embedding) = 384 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+  d AS (SELECT a.k, b.k AS n, list_distance(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.k ORDER BY list_distance(a.e, b.e), b.k)::INT AS rank FROM v a JOIN v b ON a.k <> b.k WHERE a.k % 20 = 0)
+SELECT k AS vec_rowid, n AS neighbour_rowid, rank, round(d, 6) AS distance FROM d WHERE rank <= 5
+"""

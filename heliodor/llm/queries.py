@@ -24,4 +24,4 @@ QUERIES = {
     "p10_segments": languages.p10_segments,
 }
 
-SQL = {"p2_found": near_duplicates.P2_FOUND_SQL, "p3_found": neighbours.P3_FOUND_SQL, "p5_found": splitting.P5_FOUND_SQL}
+SQL = {"p2_found": near_duplicates.P2_FOUND_SQL, "p2_classes": near_duplicates.P2_CLASSES_SQL, "p3_found": neighbours.P3_FOUND_SQL, "p3_neighbours": neighbours.P3_NEIGHBOURS_SQL, "p5_found": splitting.P5_FOUND_SQL}
