@@ -33,16 +33,19 @@ ORDERS, DRAWN, BACKOFF = (2, 3, 4, 5), 60, 0.7
 PRIOR = 20.0
 _BITS = 20
 WINDOW, MARGIN, COVERAGE = 16, 0.4, 0.8
+#: A unit is prose where fewer of its characters end a known n-gram of the highest order.
+LEAST_KNOWN = 0.35
 #: A stretch of so many characters of which this share ends n-grams of the bank isn't counted as prose.
 STRETCH, KNOWN = 24, 0.9
 _CHUNK = 250_000
 
 _FENCE = re.compile(r"^(```+|~~~+)[^\n]*\n.*?^\1[ \t]*$", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]+`")
-_PLACE = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
+_PLACE = re.compile("|".join(PLACEHOLDERS))
 _UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|[。！？]|(?=\n)|$)", re.M)
 #: Time marks and cue numbers of captured talks, and the layout of converted pages.
 _MARKS = re.compile(r"^\s*\d+\s*$|\[?\(?\b\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\)?\]?(?:\s*-->\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?)?|^WEBVTT.*$", re.M)
+_TIMED = re.compile(r"\d:\d\d|WEBVTT")
 _LAYOUT = re.compile(r"^#.*$|^Source: .*$|^\s*[-*_=]{3,}\s*$", re.M)
 
 
@@ -147,7 +150,7 @@ class Residue:
         return out
 
     def fit(self, counts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        """For each order the log-likelihood ratios (filler, notice) of each slot, NaN where no model knows the n-gram."""
+        """For each order the log-likelihood ratios (filler, notice) of each slot, NaN where no model knows the n-gram; under 0, which slots the highest order knows."""
         built_in = self.count(list(PROSE))
         natural, lower = {}, {}
         for n, grams in self.grams.items():
@@ -163,7 +166,7 @@ class Residue:
             codes = _codes("".join(self.grams[n])).reshape(-1, n)
             table[_hash([codes[:, k] for k in range(n)])] = [[max(-4.0, min(4.0, math.log(m.p(g) / lower[g]))) for m in self.models] for g in self.grams[n]]
             tables[n] = table
-        return tables
+        return tables | {0: ~np.isnan(tables[max(ORDERS)][:, 0])}
 
 
 def fit(natural: list[str], residue: Residue | None = None) -> dict[int, np.ndarray]:
@@ -193,7 +196,7 @@ def _units(text: str) -> list[tuple[int, int]]:
 
 
 def unit_scores(text: str, tables: dict[int, np.ndarray]) -> list[tuple[int, int, float, float]]:
-    """(start, end, mean ratio, coverage) of each unit of `text` under the residue model that suits it best."""
+    """(start, end, mean ratio, coverage) of each unit of `text` of which enough is known, under the residue model that suits it best."""
     units = _units(text)
     if not units:
         return []
@@ -203,6 +206,15 @@ def unit_scores(text: str, tables: dict[int, np.ndarray]) -> list[tuple[int, int
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     between = "\n" * pad
     codes = _codes(between + between.join([lower[a:b] for a, b in units]) + "\n")
+    sizes = np.array([b - a for a, b in units])
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + pad)])
+    held = np.concatenate([[0], np.cumsum(tables[0].take(_slots(codes, pad + 1)))])
+    likely = np.flatnonzero(held[starts + sizes] - held[starts] >= LEAST_KNOWN * sizes)
+    if not len(likely):
+        return []
+    if len(likely) < len(units):
+        units = [units[i] for i in likely]
+        codes = _codes(between + between.join([lower[a:b] for a, b in units]) + "\n")
     r = np.full((len(codes) - pad, 2), -1.0, np.float32)
     for n in ORDERS:
         known = tables[n].take(_slots(codes[pad - n + 1 :], n), axis=0)
@@ -248,7 +260,9 @@ def residue_reason(text: str | None, models: dict[int, np.ndarray]) -> str | Non
         return None
     if is_empty_value(text):
         return "empty value"
-    bare = _MARKS.sub("\n", _strip_code(text))
+    bare = _strip_code(text)
+    if _TIMED.search(bare):
+        bare = _MARKS.sub("\n", bare)
     if _PLACE.search(bare):
         return "placeholder"
     for at in range(0, len(bare), _CHUNK):

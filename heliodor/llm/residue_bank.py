@@ -90,10 +90,10 @@ PROSE = (
     "Maintenance of old bridges costs more than most cities had planned.", "Please remember that the order of the steps matters.", "To see the difference, open both pictures and look at the upper left corner.",
 )
 
-#: Placeholders that a template engine, an editor or an author left unfilled.
+#: Placeholders that a template engine, an editor or an author left unfilled. Each begins with a plain character, so that the search is fast.
 PLACEHOLDERS = (
-    r"\{\{[^{}\n`]{1,80}\}\}", r"\$\{[A-Za-z_][\w.]{0,60}\}", r"<%[=-]?[^%\n]{1,80}%>", r"%%[A-Za-z][A-Za-z_]{1,40}%%", r"(?<![\w_])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w_])",
-    r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?![\w%])", r"<#[^#\n]{1,80}#>", r"\[(?:TODO|TBD|TBC|INSERT|FIXME|PLACEHOLDER|XXX)\b[^\]\n]{0,80}\]", r"\b(?:TODO|FIXME)(?:\([^)\n]{1,40}\))?:\s",
+    r"\{\{[^{}\n`]{1,80}\}\}", r"\$\{[A-Za-z_][\w.]{0,60}\}", r"<%[=-]?[^%\n]{1,80}%>", r"%%[A-Za-z][A-Za-z_]{1,40}%%", r"__(?<!\w__)[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w_])",
+    r"%(?<![\w%]%)[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?![\w%])", r"<#[^#\n]{1,80}#>", r"\[(?:TODO|TBD|TBC|INSERT|FIXME|PLACEHOLDER|XXX)\b[^\]\n]{0,80}\]", r"TODO(?<!\wTODO)(?:\([^)\n]{1,40}\))?:\s", r"FIXME(?<!\wFIXME)(?:\([^)\n]{1,40}\))?:\s",
     r"\[\[[A-Za-z_ ]{2,40}\]\]", r"\{%[^%\n]{1,80}%\}", r"<(?:INSERT|YOUR|ADD)[ _][A-Z_ ]{2,40}>", r"\$[A-Z][A-Z0-9]*_[A-Z0-9_]+\$", r"@@[A-Z][A-Z_]{1,40}@@",
 )
 
