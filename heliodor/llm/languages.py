@@ -66,6 +66,7 @@ _NAME = re.compile(r"https?://\S+|\b\w*[a-z][A-Z]\w*(?:\([^)\s]*\))?|\b[A-Z]{2,}
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])")
 _CODE_LIKE = re.compile(r"[{};]\s*$|\s[-+*/%&|]?={1,3}\s|->|^\s*(?:[@.}\])]|#(?:include|import)|import \w+$|(?:let|var|func|struct|class|case|guard|return|switch|for|if|static|private|public)\b.*[)\]\w>({:]\s*$)|\w\(\S*\)\s*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_THREE_WORDS = re.compile(r"[^\W\d_]+(?:[\W\d_]+[^\W\d_]+){2}")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
@@ -126,7 +127,7 @@ def sentences(text: str | None, code: bool = False) -> list[str]:
         if bullet:
             line = line[bullet.end() :]
         part = line.strip()
-        if not part or (not code and _CODE_LIKE.search(part) and not part.endswith((".", "!", "?", "。", "！", "？"))):
+        if not part or (not code and not part.endswith((".", "!", "?", "。", "！", "？")) and _CODE_LIKE.search(part)):
             open_unit = False
             continue
         if open_unit and not bullet:
@@ -140,8 +141,7 @@ def sentences(text: str | None, code: bool = False) -> list[str]:
             unit = _QUOTED.sub(" ", unit)
         for one in _END.split(unit):
             one = " ".join(_NAME.sub(" ", one).split()).lower()
-            words = _LETTERS.findall(one)
-            if len(words) >= 3 or sum(map(len, words)) >= 4 and _WIDE.search(one):
+            if _THREE_WORDS.search(one) or _WIDE.search(one) and sum(map(len, _LETTERS.findall(one))) >= 4:
                 out.append(one)
     return out
 
