@@ -2,7 +2,8 @@
 
 The items are spread over blocks by a hash; a block holds a bounded number of tokens and is packed on its own, which costs at most
 about one underfull container a block. A first fit of the falling sizes is improved by moves and by exchanges of one for one and two
-for one between underfull containers, each of which raises the sum of squared fills, until containers empty or nothing helps.
+for one between any two underfull containers of the block, each of which raises the sum of squared fills, until the containers are as few
+as their tokens allow or no such move or exchange into a container that is as full or fuller is left.
 
 A text is whole unless it alone exceeds the capacity: then it is cut into full containers and a rest that is packed as an item.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,6 @@ from heliodor.sources.tables import read
 CAPACITY = 4_096
 #: Tokens of a block, in capacities.
 BLOCK = 400
-#: Containers that a donor is exchanged with at most, fullest first, each time its contents have changed.
-PARTNERS = 200
 
 
 def first_fit(sizes: list[int], capacity: int) -> list[list[tuple[int, int]]]:
@@ -79,14 +79,29 @@ def _improve(donor: list, partner: list, gap: int) -> int:
     return best
 
 
+def _given(partner: list) -> np.ndarray:
+    """What a partner may give back in an exchange: nothing, or an item of one of its sizes."""
+    return np.unique([0, *(s for s, _ in partner)])
+
+
+def _taken(donor: list) -> np.ndarray:
+    """What an exchange may take from a sorted donor: nothing, one item or two, as their sizes' sums in order."""
+    sizes = np.array([s for s, _ in donor], dtype="int64")
+    one = np.unique(sizes)
+    low, high = np.triu_indices(len(one), 1)
+    return np.unique(np.concatenate(([0], one, one[low] + one[high], 2 * sizes[1:][sizes[1:] == sizes[:-1]])))
+
+
 def local_search(bins: list[list[tuple[int, int]]], capacity: int) -> list[list[tuple[int, int]]]:
     """Raise the sum of squared fills by exchanges between underfull containers, emptying the least filled ones first.
 
-    Rounds over all containers go on until one changes nothing, or the least number of containers is reached. Each exchange goes to
-    the container that ends fuller, so the sum of squares grows by whole numbers and the search ends.
+    Rounds over all containers go on until one changes nothing, or the least number of containers is reached. Every underfull container
+    that is as full as the donor or fuller is a partner; which of them an exchange helps is asked of all their items in one search of
+    the donor's sums. Each exchange goes to the partner, so the sum of squares grows by whole numbers and the search ends.
     """
     bins = [sorted(b) for b in bins if b]
     fills = [sum(s for s, _ in b) for b in bins]
+    gives = [_given(b) for b in bins]
     least, held, changed = -(-sum(fills) // capacity), len(bins), True
     while changed and held > least:
         changed = False
@@ -94,15 +109,24 @@ def local_search(bins: list[list[tuple[int, int]]], capacity: int) -> list[list[
             moved = True
             while moved and bins[donor] and fills[donor] < capacity:
                 moved = False
-                partners = sorted((i for i in range(len(bins)) if i != donor and 0 < fills[i] < capacity), key=lambda i: -fills[i])
-                for p in partners[:PARTNERS]:
-                    if fills[p] < fills[donor] or (fills[p] == fills[donor] and p < donor):
-                        break  # from here on the donor is the fuller one
-                    if size := _improve(bins[donor], bins[p], capacity - fills[p]):
-                        fills[p], fills[donor], moved, changed = fills[p] + size, fills[donor] - size, True, True
-                    if not bins[donor]:
-                        held -= 1
+                partners = sorted((i for i in range(len(bins)) if i != donor and fills[donor] <= fills[i] < capacity), key=lambda i: -fills[i])
+                if not partners:
+                    break
+                given, lengths = np.concatenate([gives[p] for p in partners]), [len(gives[p]) for p in partners]
+                owner = np.repeat(np.arange(len(partners)), lengths)
+                room, ends, at = given + np.repeat([capacity - fills[p] for p in partners], lengths), np.cumsum(lengths), 0
+                while at < len(given) and bins[donor]:
+                    taken = _taken(bins[donor])
+                    helps = taken[taken.searchsorted(room[at:], "right") - 1] > given[at:]
+                    if not helps.any():
                         break
+                    k = owner[at + helps.argmax()]
+                    p, at = partners[k], ends[k]
+                    size = _improve(bins[donor], bins[p], capacity - fills[p])
+                    fills[p], fills[donor], moved, changed = fills[p] + size, fills[donor] - size, True, True
+                    gives[p], gives[donor] = _given(bins[p]), _given(bins[donor])
+                if not bins[donor]:
+                    held -= 1
             if held <= least:
                 break
     return [b for b in bins if b]

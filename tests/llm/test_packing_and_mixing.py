@@ -160,3 +160,19 @@ def test_mixture(spark):
     assert mixed.where("key >= 9000").count() == 0
     empty, none = mixing.mix(docs.where(F.lit(False)), targets, "k", "t", "s")
     assert empty.count() == 0 and none.count() == 4
+
+
+def test_local_search_tries_every_partner():
+    """Whatever number of fuller containers come first, and none of them helps; then all pairs by brute force."""
+    bins = [[(9, i)] for i in range(300)] + [[(7, 300)], [(2, 301)]]
+    assert len(packing.local_search(bins, 10)) == 301
+    rng = random.Random(5)
+    sizes = [rng.randint(1100, 1900) for _ in range(800)]
+    bins = [[s for s, _ in b] for b in packing.local_search(packing.first_fit(sizes, 4096), 4096)]
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and -(-sum(sizes) // 4096) < len(bins) < len(packing.first_fit(sizes, 4096))
+    assert sum(sum(b) < 4096 for b in bins) > 200
+    for i, donor in enumerate(bins):
+        taken = [*donor, *(a + b for k, a in enumerate(donor) for b in donor[:k])]
+        for j, partner in enumerate(bins):
+            if i != j and sum(donor) <= sum(partner):
+                assert not any(0 < t - g <= 4096 - sum(partner) for t in taken for g in (0, *partner))
